@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,5 +81,5 @@ def with_fields(schema: StructType, *fields: tuple[str, str]) -> StructType:
     """The schema with columns added; the given schema stays as it is."""
     out = StructType(list(schema.fields))
     for name, kind in fields:
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import language_id, quality_rules
+from foliolens.llm import (
+    graph_ann,
+    language_id,
+    licence_rules,
+    packing,
+    pii,
+    piece_fst,
+    quality_rules,
+    secret_scan,
+    simhash_vp,
+    vector_dedup,
+)
 from foliolens.llm.common import held_out, table
 
 
@@ -19,6 +30,49 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id 100 divides (robust-pruned graphs)."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, byte fallbacks, checksum of ids and round trip of every document (weighted transducer)."""
+    return piece_fst.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document (keyword automaton, anchored patterns, checksums)."""
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document (patterns, checksums, context)."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector (sign hashes, exact cosine)."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, licences (distinct, sorted, comma-joined), n_matches and spans of every document (sentence rules)."""
+    found = licence_rules.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"]))), ",").alias("licences"),
+        F.size("licences").cast("bigint").alias("n_matches"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (vantage-point trees)."""
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash_vp.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document (rank-order profiles)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -27,9 +81,16 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, a row for each piece (concatenate and cut)."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality": op1_quality,
-    "op9_language": op9_language,
+    f.__name__: f
+    for f in (op1_quality, op2_nearest, op3_pieces, op4_secrets, op5_pii, op6_vector_dedup, op7_licences, op8_simhash, op9_language, op10_packing)
 }
 
+#: SQL states the base spans' counts of a kind at best, never all that a query returns;
+#: the queries are tested against brute force, the published libraries and held-out accuracy.
 ORACLE_SQL: dict[str, str] = {}
