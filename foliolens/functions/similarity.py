@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliolens.sources.shipping import ship
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence: one machine word of bits for each row of the table."""
@@ -39,6 +41,8 @@ def sequence_ratio(a: str, b: str) -> float:
 def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``indel`` and ``sequence``; null texts count as empty."""
 
+    ship(df.sparkSession)
+
     def column(measure: Callable[[str, str], float]) -> Column:
         def run(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([measure(p, q) for p, q in zip(x.fillna(""), y.fillna(""), strict=True)], dtype="float64")

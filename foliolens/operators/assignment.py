@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliolens.sources.shipping import ship
+
 #: Pairs below this score are no match.
 LEAST_SCORE = 0.05
 
@@ -44,6 +46,8 @@ def best_assignment(scored: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     Pages are bounded groups, each solved in one task.
     """
 
+    ship(scored.sparkSession)
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = pdf.pivot_table(index="a", columns="b", values="score", aggfunc="max").sort_index().sort_index(axis=1).fillna(0.0)
         x = grid.to_numpy()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliolens.sources.shipping import ship
+
 #: A word joins the first row whose centre is at most this far.
 ROW_TOLERANCE = 4.0
 
@@ -17,6 +19,8 @@ def greedy_rows(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame
     page, a bounded group, is one task.
     """
 
+    ship(words.sparkSession)
+
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
         for w in pdf.sort_values("pos").itertuples():
