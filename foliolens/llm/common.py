@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from foliolens.sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark opens the path, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is read from ``spark.checkpoint.dir``; only where that is unset (local tests)
     a temporary folder takes its place.
     """
+    ship(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_foliolens_dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="foliolens-")
@@ -48,6 +52,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; batches without rows are left out."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
