@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +53,63 @@ def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
         return F.pandas_udf(run, "double")(a, b)
 
     return df.withColumn("indel", column(indel_ratio)).withColumn("sequence", column(sequence_ratio))
+
+
+def preservation(source: str, output: str) -> float:
+    """1 less the share of the source's characters that an optimal edit script replaces or deletes.
+
+    Of optimal scripts the one that damages least counts; characters added cost nothing here.
+    """
+    if not source:
+        return 1.0
+    big = 1 << 32
+    out = np.frombuffer(output.encode("utf-32-le"), dtype=np.uint32)
+    steps = np.arange(len(out) + 1, dtype=np.int64) * big
+    row = steps.copy()
+    for x in source:
+        best = row + big + 1
+        if len(out):
+            best[1:] = np.minimum(best[1:], row[:-1] + np.where(out == ord(x), 0, big + 1))
+        row = np.minimum.accumulate(best - steps) + steps
+    return 1.0 - float(row[-1] % big) / len(source)
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best matching-blocks ratio of the shorter text with a stretch of the longer of the same length."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 1.0 if not long else 0.0
+    blocks = SequenceMatcher(None, short, long).get_matching_blocks()
+    starts = {max(0, min(m.b - m.a, len(long) - len(short))) for m in blocks}
+    return max(SequenceMatcher(None, short, long[s : s + len(short)]).ratio() for s in starts)
+
+
+def repaired(text: str | None) -> str:
+    """UTF-8 that was read as Latin-1 read again, and white space collapsed; other texts as they are."""
+    out = text or ""
+    try:
+        out = out.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        pass
+    return " ".join(out.split())
+
+
+def fragments_joined(text: str | None) -> str:
+    """A letter split from the rest of its word joined to it again, until nothing changes."""
+    out, before = " ".join((text or "").split()), None
+    while out != before:
+        before, out = out, re.sub(r"\b([A-Za-z])\s+([a-z]{2,})\b", r"\1\2", out)
+    return out
+
+
+def script_of(char: str) -> str | None:
+    """LATIN, GREEK or OTHER for a letter, null for what is none."""
+    if not char.isalpha():
+        return None
+    name = unicodedata.name(char, "")
+    return "LATIN" if "LATIN" in name else "GREEK" if "GREEK" in name else "OTHER"
+
+
+def mapped(kind: str, fn: Callable[[str | None], object]) -> Callable[[Column | str], Column]:
+    """A function of one text as a column function over Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(fn, na_action=None).astype("object"), kind)

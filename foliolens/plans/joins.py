@@ -56,8 +56,8 @@ def j4(spark, folder):
     docs = S.table(spark, folder, "documents").select("doc_id", "text")
     w = F.split("text", " ")
     shifted = F.arrays_zip(*[F.slice(w, i + 1, F.size(w)).alias(f"w{i}") for i in range(8)])  # the words and seven shifts of them
-    runs = docs.where(F.size(w) >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(8)])))).alias("key"))
-    keyed = gold.where(F.size("p") >= 10).select("item_id", F.array_join(F.slice("p", 2, 8), " ").alias("key"))
+    runs = docs.where(F.size(w) >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(shifted, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(8)])))).alias("key"))
+    keyed = gold.where(F.size("p") >= 10).select("item_id", F.xxhash64(*[F.element_at("p", i + 2) for i in range(8)]).alias("key"))
     pairs = runs.join(keyed, "key").select("doc_id", "item_id").distinct()
     long = pairs.join(docs, "doc_id").join(gold.select("item_id", "passage"), "item_id").where(F.contains(c("text"), c("passage"))).select("item_id")
     short = gold.where(F.size("p") < 10).join(docs, F.contains(c("text"), c("passage")), "left_semi").select("item_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import geometry as G
 from foliolens.functions import text as T
-from foliolens.functions.similarity import indel_ratio, sequence_ratio, with_similarity
+from foliolens.functions.similarity import fragments_joined, indel_ratio, partial_ratio, preservation, repaired, script_of, sequence_ratio, with_similarity
 from foliolens.operators.assignment import best_assignment
 from foliolens.operators.clusters import greedy_rows
 from foliolens.operators.spatial import best_box_match, overlapping
@@ -111,3 +111,18 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_sessions_batch(spark, sf_dir):
     s = E.sessions(S.table(spark, sf_dir, "events"))
     assert s.agg(F.sum("n")).first()[0] == S.table(spark, sf_dir, "events").count()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12))
+def test_preservation_bounds(a, b):
+    assert 0.0 <= preservation(a, b) <= 1.0 and preservation(a, a) == 1.0
+    assert preservation(a, a + b) == 1.0  # what is added damages nothing
+
+
+def test_repairs():
+    assert preservation("abcd", "abXd") == 0.75 and preservation("abcd", "") == 0.0
+    assert partial_ratio("abc", "xxabcxx") == 1.0 and partial_ratio("", "a") == 0.0
+    assert repaired("caf\u00c3\u00a9  x") == "café x" and repaired(None) == ""
+    assert fragments_joined("w ord and a n ew one") == "word and anew one"
+    assert [script_of(x) for x in "aα中1"] == ["LATIN", "GREEK", "OTHER", None]
