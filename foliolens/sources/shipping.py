@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,16 +16,27 @@ import foliolens
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package's source, once for each context.
 
-    The driver serves one small archive to every executor, also to those that join
-    later. A package that was itself loaded from an archive is with the workers already.
+    The archive lies in the shared folder (a temporary one only where none is set, as in
+    tests), so executors that join later get it too. A package that was itself loaded
+    from an archive is with the workers already.
     """
     context = spark.sparkContext
     root = Path(foliolens.__file__).parent
     if getattr(context, "_foliolens_shipped", False) or not root.is_dir():
         return
-    archive = Path(tempfile.mkdtemp(prefix="foliolens-")) / "foliolens.zip"
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        archive = f"{shared.rstrip('/')}/code-{uuid.uuid4().hex}/foliolens.zip"
+        path = context._jvm.org.apache.hadoop.fs.Path(archive)
+        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+        stream.write(packed.getvalue())
+        stream.close()
+    else:
+        archive = str(Path(tempfile.mkdtemp(prefix="foliolens-")) / "foliolens.zip")
+        Path(archive).write_bytes(packed.getvalue())
+    context.addPyFile(archive)
     context._foliolens_shipped = True
