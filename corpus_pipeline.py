@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliolens.llm import language_id, packing, quality_rules, secret_scan, simhash_vp
-from foliolens.llm.common import table, written
+from foliolens.llm.common import removed, table, written_at
 
 #: A document goes on if its language is known and its score reaches this.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -59,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage over ``documents``; a stage's table goes when the next is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
