@@ -57,9 +57,10 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add a struct column ``_statistics``; it replaces one of that name."""
-    return docs.withColumn("_statistics", F.struct(*[c.cast("double").alias(k) for k, c in statistics(F.col(text)).items()]))
+def with_statistics(docs: DataFrame, text: str = "text", names: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """Add a struct column ``_statistics`` of the named statistics; it replaces one of that name."""
+    all_ = statistics(F.col(text))
+    return docs.withColumn("_statistics", F.struct(*[all_[k].cast("double").alias(k) for k in names]))
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,11 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
+    def used(self) -> tuple[str, ...]:
+        """The statistics that the rules ask for (one at least), in their order."""
+        asked = {name for rule, _ in self.rules for name, _, _ in rule.parts}
+        return tuple(k for k in STATISTICS if k in asked) or STATISTICS[:1]
+
     def score(self, of: str = "_statistics") -> Column:
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
@@ -210,4 +216,4 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, te
 
 def with_quality(docs: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
     """Add the score (0 to 1, higher: better) of each whole text; a column of that name is replaced."""
-    return with_statistics(docs, text).withColumn(score, model.score()).drop("_statistics")
+    return with_statistics(docs, text, model.used()).withColumn(score, model.score()).drop("_statistics")
