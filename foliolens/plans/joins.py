@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import geometry as G
+from foliolens.functions import rules as R
 from foliolens.functions import text as T
 from foliolens.operators.spatial import best_box_match, nearest_boxes
 from foliolens.plans.aggregates import _CUT
@@ -203,10 +204,30 @@ def j40(spark, folder):
     return kept.join(children, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("children"), F.coalesce("q", F.lit(0)).alias("quantity"))
 
 
-@query("p5_guidance", """SELECT event_id, category, hint FROM events LEFT JOIN (VALUES ('error', 'fonts', 'embed all fonts'), ('click', 'links', 'describe links')) AS g(event_type, category, hint) USING (event_type)""")
+_KEYS = [k for k, _, _ in R.GUIDANCE] + ["9.9-9", "7.3-1", "7.18.1-3"]
+_KEYS_SQL = "[" + ", ".join(f"'{k}'" for k in _KEYS) + "][(p_partkey % 18 + 1)::INT]"
+_KNOWN_SQL = "(VALUES " + ", ".join(f"('{k}', '{g}', '{h}')" for k, g, h in R.GUIDANCE) + ") AS g(rule_key, category, fix_hint)"
+_SAYS = ["A Widget annotation lacks a name", "No replacement text", "Header th is missing", "Nesting is off", "FIGURE TAG without bounds", ""]
+
+
+def ruled_parts(spark, folder):
+    """Parts as violations of numbered rules."""
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (c("p_partkey") % 18 + 1).cast("int"))
+    says = F.element_at(F.array(*map(F.lit, _SAYS)), c("p_size") % 6 + 1)
+    return S.table(spark, folder, "part").select("p_partkey", key.alias("rule_key"), says.alias("description"))
+
+
+@query("p5_guidance", f"SELECT p_partkey, k AS rule_key, category, fix_hint FROM (SELECT p_partkey, {_KEYS_SQL} AS k FROM part) LEFT JOIN {_KNOWN_SQL} ON k = rule_key")
 def p5(spark, folder):
-    guide = F.broadcast(spark.createDataFrame([("error", "fonts", "embed all fonts"), ("click", "links", "describe links")], "event_type string, category string, hint string"))  # a fixed list
-    return S.table(spark, folder, "events").join(guide, "event_type", "left").select("event_id", "category", "hint")
+    return ruled_parts(spark, folder).join(R.guidance(spark), "rule_key", "left").select("p_partkey", "rule_key", "category", "fix_hint")
+
+
+@query("p3_task_for_violation", f"""SELECT p_partkey, CASE WHEN k = '7.18.1-3' OR p_size % 6 = 0 THEN 'form_semantics' WHEN k LIKE '7.21.%' THEN 'font_text_fidelity' WHEN k LIKE '7.3-%' OR p_size % 6 IN (1, 4) THEN 'alt_text'
+    WHEN category IN ('annotations', 'links') THEN 'annotation_description' WHEN category = 'tables' OR p_size % 6 = 2 THEN 'table_semantics' ELSE 'reading_order' END AS task_type
+    FROM (SELECT p_partkey, p_size, {_KEYS_SQL} AS k FROM part) LEFT JOIN {_KNOWN_SQL} ON k = rule_key""")
+def p3(spark, folder):
+    known = ruled_parts(spark, folder).join(R.guidance(spark), "rule_key", "left")
+    return known.select("p_partkey", R.task_type(F.concat(F.lit("ISO 14289-1:2014-"), c("rule_key")), c("category"), c("description")).alias("task_type"))
 
 
 @query("x11_matching_score", with_frames("boxes", f"SELECT a.box AS target, o.box, round(0.85 * ({_boxed} / ({_A} + {_O} - {_boxed})) + 0.15 * ({_boxed} / {_A}), 6) AS score FROM boxes a JOIN boxes o ON a.page = o.page AND a.box < o.box WHERE {_boxed} > 0"))

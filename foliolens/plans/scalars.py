@@ -118,8 +118,6 @@ scalar("u3_strip_subset_prefix", tbl("part"), ["p_partkey"], lambda: {"font": F.
 
 # Predicates and rules.
 scalar("p1_parse_json", tbl("events"), ["event_id"], lambda: {"k": F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))}, {"k": "coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0)"}, "events")
-scalar("p3_task_for_violation", S.violations, ["event_id"], lambda: {"task_type": F.when(F.contains(c("description"), F.lit("form field")) | F.contains(c("description"), F.lit("widget annotation")), "form_semantics").when(c("rule_id") == "view", "font_text_fidelity")
-    .when(F.contains(c("rule_id"), F.lit("click")), "alt_text").when(c("rule_id").isin("annotations", "links", "signup"), "annotation_description").when(F.contains(c("description"), F.lit("purchase")), "table_semantics").otherwise("reading_order")}, {"task_type": "CASE WHEN rule_id = 'view' THEN 'font_text_fidelity' WHEN rule_id LIKE '%click%' THEN 'alt_text' WHEN rule_id IN ('annotations', 'links', 'signup') THEN 'annotation_description' WHEN description LIKE '%purchase%' THEN 'table_semantics' ELSE 'reading_order' END"}, "violations")
 _RANK = lambda: F.coalesce(F.create_map(*[F.lit(x) for x in ("high", 3, "medium", 2, "low", 1)])[c("severity")], F.lit(0))
 _RANK_SQL = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 scalar("p4_severity_rank", S.review_tasks, ["task_id"], lambda: {"severity_rank": _RANK()}, {"severity_rank": _RANK_SQL}, "review_tasks")
