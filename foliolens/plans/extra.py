@@ -17,6 +17,9 @@ from foliolens.streaming.events import sessions
 
 c = F.col
 
+#: Text drift is measured on a sample of at most so many characters.
+SAMPLE_CHARS = 20_000
+
 
 @query("s7_ordered_projection", "SELECT conv_id, turn, role FROM conversations WHERE role <> 'system' ORDER BY conv_id, turn")
 def s7(spark, folder):
@@ -199,9 +202,10 @@ def x1(spark, folder):
 
 @query("x3_text_drift")
 def x3(spark, folder):
-    """Each document against itself with every fifth word lost: ratio and verdict."""
-    kept = F.array_join(F.filter(F.split(F.substring("text", 1, 2000), " "), lambda x, i: i % 5 != 4), " ")
-    pairs = S.table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 2000).alias("a"), kept.alias("b"))
+    """Each document's sample (its first SAMPLE_CHARS, the operator's own rule) against itself with every fifth word lost: ratio and verdict."""
+    sample = F.substring("text", 1, SAMPLE_CHARS)
+    kept = F.array_join(F.filter(F.split(sample, " "), lambda x, i: i % 5 != 4), " ")
+    pairs = S.table(spark, folder, "documents").select("doc_id", sample.alias("a"), kept.alias("b"))
     scored = X.with_similarity(pairs, "a", "b")
     return scored.select("doc_id", F.round("sequence", 4).alias("ratio"), F.when(c("sequence") < 0.82, "fail").when(c("sequence") < 0.9, "warn").otherwise("pass").alias("status"))
 
@@ -218,5 +222,5 @@ def p33(spark, folder):
 def p35(spark, folder):
     """Blocks unlike their own hint but like their neighbour: repeats of what stands beside them."""
     w = Window.partitionBy("page").orderBy("pos")
-    near = S.blocks(spark, folder).select("page", "pos", F.substring("text", 1, 80).alias("a"), F.coalesce(F.substring(F.lag("text").over(w), 1, 80), F.lit("")).alias("b"))
+    near = S.blocks(spark, folder).select("page", "pos", c("text").alias("a"), F.coalesce(F.lag("text").over(w), F.lit("")).alias("b"))
     return X.with_similarity(near, "a", "b").select("page", "pos", (c("indel") >= 0.9).alias("artifact"))

@@ -418,12 +418,12 @@ def t13(spark, folder):
 
 
 # Text and nested values.
-@query("f11_ordered_parts", f"SELECT doc_id, regexp_matches({_n('substring(text, 1, 2000)')}, 'the.*of.*in') AS present FROM documents")
+@query("f11_ordered_parts", f"SELECT doc_id, regexp_matches({_n('text')}, 'the.*of.*in') AS present FROM documents")
 def f11(spark, folder):
     """Parts found one after the other, by a fold whose state is where the next may begin (0: none left)."""
-    text = T.normalized(F.substring("text", 1, 2000))
+    docs, text = S.table(spark, folder, "documents").select("doc_id", T.normalized(c("text")).alias("n")), c("n")
     at = F.aggregate(F.array(F.lit("the"), F.lit("of"), F.lit("in")), F.lit(1), lambda k, p: F.when((k > 0) & (F.position(p, text, k) > 0), F.position(p, text, k) + F.length(p)).otherwise(0))
-    return S.table(spark, folder, "documents").select("doc_id", (at > 0).alias("present"))
+    return docs.select("doc_id", (at > 0).alias("present"))
 
 
 @query("f12_normalize_terms", "SELECT p_partkey, array_to_string(list_filter(list_transform([p_name, ' ', p_brand], lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> ''), '|') AS terms FROM part")

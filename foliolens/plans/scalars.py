@@ -88,9 +88,9 @@ scalar("f2_dense_text", tbl("documents"), ["doc_id"], lambda: {"dense": T.dense(
 scalar("f3_visible_text", tbl("documents"), ["doc_id"], lambda: {"visible": T.collapsed(c("text"))}, {"visible": _c("text")}, "documents")
 scalar("f5_split_alpha_digit", tbl("part"), ["p_partkey"], lambda: {"split": T.split_alpha_digit(F.concat(c("p_brand"), c("p_type"), c("p_size").cast("string"), c("p_name")))}, {"split": _split("p_brand || p_type || p_size::VARCHAR || p_name")}, "part")
 scalar("f6_loose_text", tbl("documents"), ["doc_id"], lambda: {"loose": T.loose(c("text"))}, {"loose": _loose("text")}, "documents")
-scalar("f7_title_text", tbl("documents"), ["doc_id"], lambda: {"title": T.title_key(F.substring("text", 1, 400))}, {"title": _loose("substring(text, 1, 400)", "")}, "documents")
+scalar("f7_title_text", tbl("documents"), ["doc_id"], lambda: {"title": T.title_key(c("text"))}, {"title": _loose("text", "")}, "documents")
 scalar("f8_matches_text", tbl("part"), ["p_partkey"], lambda: {"contains_type": T.matches_text(F.concat(c("p_type"), F.lit(" "), c("p_name")), F.concat(F.lit("small "), F.lit("ring")), False), "equals_name": T.matches_text(c("p_name"), F.lit("Small  RING"), True)}, {"contains_type": f"({_n(chr(39) + chr(39) + ' || p_type || chr(32) || p_name')} <> '' AND contains({_n('p_type || chr(32) || p_name')}, 'small ring'))", "equals_name": f"({_n('p_name')} = 'small ring')"}, "part")
-scalar("f9_ordered_terms", tbl("documents"), ["doc_id"], lambda: {"ordered": T.matches_ordered_terms(F.substring("text", 1, 300), F.lit("the of in"))}, {"ordered": f"(len(string_split({_loose('substring(text, 1, 300)')}, ' ')) > 0 AND regexp_matches({_loose('substring(text, 1, 300)')}, '(^| )the( .*)? of( .*)? in( |$)'))"}, "documents")
+scalar("f9_ordered_terms", tbl("documents"), ["doc_id"], lambda: {"ordered": T.matches_ordered_terms(c("text"), F.lit("the of in"))}, {"ordered": f"(len(string_split({_loose('text')}, ' ')) > 0 AND regexp_matches({_loose('text')}, '(^| )the( .*)? of( .*)? in( |$)'))"}, "documents")
 scalar("f10_contiguous_terms", tbl("documents"), ["doc_id"], lambda: {"contiguous": T.matches_contiguous_terms(c("text"), F.lit("of the"))}, {"contiguous": f"({_loose('text')} <> '' AND contains(' ' || {_loose('text')} || ' ', ' of the '))"}, "documents")
 scalar("f13_primary_subtag", tbl("documents"), ["doc_id"], lambda: {"primary_tag": T.primary_subtag(F.concat(F.upper("lang"), F.lit("-XX")))}, {"primary_tag": "string_split(lower(upper(lang) || '-XX'), '-')[1]"}, "documents")
 scalar("f14_language_match", tbl("documents"), ["doc_id"], lambda: {"same": (T.primary_subtag(c("lang")) != "") & (T.primary_subtag(c("lang")) == T.primary_subtag(F.lit("EN-us")))}, {"same": "(string_split(lower(lang), '-')[1] = 'en')"}, "documents")

@@ -48,15 +48,15 @@ def w4(spark, folder):
     return fragments(spark, folder).select("doc_id", "fragment", "pos", "rank")
 
 
-_CUTTEXT = "substring({t}, 1, (length({t}) * 3) // 4)"
+_LOSSY = "replace({t}, ' of ', ' ')"
 
 
 @query("w3_order_metrics", with_frames("doc_lines", f"""SELECT doc_id, considered, hits, CASE WHEN hits = 0 THEN 0 ELSE {_LNDS.format(a='p')} END::INT AS ordered, round(hits / considered::DOUBLE, 4) AS hit_rate FROM (
     SELECT doc_id, len(f)::INT AS considered, list_filter(list_transform(f, lambda x: strpos(cut, x)), lambda v: v > 0) AS p, len(list_filter(list_transform(f, lambda x: strpos(cut, x)), lambda v: v > 0))::INT AS hits FROM (
-    SELECT doc_id, list(fragment ORDER BY rank) AS f FROM {_FRAG} GROUP BY doc_id) JOIN (SELECT doc_id, {_CUTTEXT.format(t=_n('text'))} AS cut FROM documents) USING (doc_id))"""))
+    SELECT doc_id, list(fragment ORDER BY rank) AS f FROM {_FRAG} GROUP BY doc_id) JOIN (SELECT doc_id, {_LOSSY.format(t=_n('text'))} AS cut FROM documents) USING (doc_id))"""))
 def w3(spark, folder):
     norm = T.normalized(c("text"))
-    texts = S.table(spark, folder, "documents").select("doc_id", F.substring(norm, F.lit(1), F.floor(F.length(norm) * 3 / 4).cast("int")).alias("cut"))
+    texts = S.table(spark, folder, "documents").select("doc_id", F.replace(norm, F.lit(" of "), F.lit(" ")).alias("cut"))
     lists = fragments(spark, folder).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fragment"))), lambda x: x["fragment"]).alias("f"))
     found = lists.join(texts, "doc_id").select("doc_id", F.size("f").alias("considered"), F.filter(F.transform("f", lambda x: F.instr(c("cut"), x)), lambda v: v > 0).alias("p"))
     hits = F.size("p")
