@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 _PDF = "reads or writes PDF bytes; no codec is offered"
-_SERVICE = "calls a describing service; the relational part around it is covered by other queries"
 _DRIVER = "plumbing of the driver (uploads, health, rendering); no DataFrame result"
 
 SKIPPED: dict[str, str] = {
     "S1": _DRIVER, "S15": _PDF, "S17": _PDF, "S18": _PDF,
-    "P34": _SERVICE,
-    "W18": "its guards are F32 and W19; the rest reads rendered pages", "F17": "model-based; language ID of the training-data part stands for it",
     "X15": _PDF, "X16": _PDF, "X17": "the same operator as W11",
-   
     "E1": _PDF, "E9": _PDF, "E11": _PDF, "E12": _PDF,
     "E16": _DRIVER, "E21": _DRIVER,
 }

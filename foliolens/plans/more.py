@@ -25,6 +25,15 @@ def joined_when(*parts):
     return F.array_join(F.filter(F.array(*[F.when(p, F.lit(t)) for p, t in parts]), lambda x: x.isNotNull()), ",")
 
 
+def text_signals(x):
+    """What makes a block's text look wrong, comma-joined; empty if nothing does."""
+    tokens = F.regexp_count(x, F.lit("[A-Za-z]+"))
+    letters = F.length(F.regexp_replace(x, "[^A-Za-z]+", ""))
+    return joined_when(
+        (F.rlike(x, F.lit(r"(^|\s)([A-Za-z]\s){4,}[A-Za-z](\s|$)")), "spaced letters"), ((tokens >= 6) & (letters <= 1.6 * tokens), "short tokens"),
+        (F.rlike(x, F.lit(r"\p{IsLatin}")) & F.rlike(x, F.lit(r"[\p{IsCyrillic}\p{IsHan}\p{IsArabic}]")), "mixed scripts"))
+
+
 @query("p13_ocr_skip_reasons", "SELECT p_partkey, concat_ws(',', CASE WHEN p_type = 'ECONOMY' AND p_size % 4 <> 0 THEN 'digital document' END, CASE WHEN p_partkey % 3 = 0 THEN 'fillable forms present' END, CASE WHEN p_size > CASE WHEN p_size % 4 = 0 THEN 40 ELSE 25 END THEN 'too many pages' END) AS reasons FROM part")
 def p13(spark, folder):
     suspect = c("p_size") % 4 == 0
@@ -463,12 +472,7 @@ def f31(spark, folder):
     CASE WHEN len(regexp_extract_all({_c('text')}, '[A-Za-z]+')) >= 6 AND length(regexp_replace({_c('text')}, '[^A-Za-z]+', '', 'g')) <= 1.6 * len(regexp_extract_all({_c('text')}, '[A-Za-z]+')) THEN 'short tokens' END,
     CASE WHEN regexp_matches({_c('text')}, '\p{{Latin}}') AND regexp_matches({_c('text')}, '[\p{{Cyrillic}}\p{{Han}}\p{{Arabic}}]') THEN 'mixed scripts' END) AS signals FROM conversations""")
 def f32(spark, folder):
-    x = T.collapsed(c("text"))
-    tokens = F.regexp_count(x, F.lit("[A-Za-z]+"))
-    letters = F.length(F.regexp_replace(x, "[^A-Za-z]+", ""))
-    return S.table(spark, folder, "conversations").select("conv_id", "turn", joined_when(
-        (F.rlike(x, F.lit(r"(^|\s)([A-Za-z]\s){4,}[A-Za-z](\s|$)")), "spaced letters"), ((tokens >= 6) & (letters <= 1.6 * tokens), "short tokens"),
-        (F.rlike(x, F.lit(r"\p{IsLatin}")) & F.rlike(x, F.lit(r"[\p{IsCyrillic}\p{IsHan}\p{IsArabic}]")), "mixed scripts")).alias("signals"))
+    return S.table(spark, folder, "conversations").select("conv_id", "turn", text_signals(T.collapsed(c("text"))).alias("signals"))
 
 
 @query("f40_context_path", "SELECT p_partkey, (p_size + 1)::INT AS page, CASE WHEN p_size % 2 = 0 THEN (p_partkey % 9)::INT END AS annotation, (p_partkey % 17)::INT AS operator FROM part")

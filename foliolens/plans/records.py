@@ -15,6 +15,7 @@ from foliolens.functions.decisions import decision
 from foliolens.operators.assignment import best_assignment
 from foliolens.operators.services import with_answers
 from foliolens.operators.spatial import overlapping
+from foliolens.plans.more import text_signals
 from foliolens.plans.registry import query
 from foliolens.sources import frames as S
 from foliolens.sources.frames import with_frames
@@ -280,3 +281,95 @@ def e13(spark, folder):
     sure = c("blocking") & c("task_type").isin("reading_order", "table_semantics") & (c("severity") == "high")
     rows = S.review_tasks(spark, folder).groupBy("job_id").agg(F.count_if(~sure).alias("remaining"), F.array_sort(F.collect_list(F.when(sure, c("task_id")))).alias("ids"))
     return rows.select("job_id", "remaining", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("applied"))
+
+
+# Texts read again.
+#: A reading that differs from the block's text by less than this is no news.
+SAME_TEXT = 0.97
+LEAST_CHARS, LEAST_READ_CHARS = 6, 3
+
+
+def grounded_candidates(blocks: DataFrame) -> DataFrame:
+    """Suspicious blocks (page, pos, role, text, ocr) that a second reading tells differently, worst first.
+
+    The reading may not hold far more than the block, nor also its neighbours' text. The
+    result has the neighbours' texts and roles, the signals, the kind of issue and the
+    similarity. A null text or reading counts as empty and gives no candidate.
+    """
+    w = Window.partitionBy("page").orderBy("pos")
+    near = {f"{side}_{n}": F.coalesce(f(n).over(w), F.lit("")) for side, f in (("previous", F.lag), ("next", F.lead)) for n in ("text", "role")}
+    rows = blocks.withColumns(near).withColumn("signals", text_signals(T.collapsed(c("text"))))
+    rows = rows.where((c("signals") != "") & (c("role") != "artifact") & (F.length(T.collapsed(c("text"))) >= LEAST_CHARS))
+    rows = rows.withColumns({n: T.dense(c(x)) for n, x in (("_a", "text"), ("_b", "ocr"), ("_p", "previous_text"), ("_n", "next_text"))})
+    a, b = F.length("_a"), F.length("_b")
+    also = lambda x: (c(x) != "") & F.contains("_b", c(x))
+    wide = (b > a + 20) & F.contains("_b", c("_a"))
+    spread = (b > F.greatest(2 * a, a + 40)) & (also("_p") | also("_n"))
+    rows = rows.where((a > 0) & (b >= LEAST_READ_CHARS) & ~wide & ~spread & (T.normalized(c("text")) != T.normalized(c("ocr"))))
+    scored = X.with_similarity(rows, "text", "ocr").where((c("indel") < SAME_TEXT) | F.contains("signals", F.lit("spaced letters")))
+    issue = F.when(c("_a") == c("_b"), "spacing_only").otherwise("encoding_problem")
+    return scored.select(*blocks.columns, *near, "signals", issue.alias("issue_type"), F.round("indel", 4).alias("similarity")).orderBy("issue_type", "page", "pos")
+
+
+@query("w18_grounded_candidates")
+def w18(spark, folder):
+    """Turns whose letters stand apart, against what they say when read together."""
+    spaced = F.when(c("turn") % 2 == 0, F.trim(F.regexp_replace("text", "(.)", "$1 "))).otherwise(c("text"))
+    blocks = S.table(spark, folder, "conversations").select(c("conv_id").alias("page"), c("turn").alias("pos"), "role", spaced.alias("text"), c("text").alias("ocr"))
+    return grounded_candidates(blocks).select("page", "pos", "signals", "issue_type", "similarity", F.length("previous_text").alias("previous_chars"), F.length("next_text").alias("next_chars"))
+
+
+#: A line of code has one of these.
+CODE_MARKS = r"\b(def|for|if|return|class|with|import)\b|[#=\[\](){}:]"
+LEAST_CODE_SUPPORT = 0.55
+MOST_CODE_LINES, MOST_CODE_CHARS = 40, 2000
+
+
+def code_accepted(blocks: DataFrame) -> DataFrame:
+    """Blocks (role, confidence, blocking, issue_type, hint, native, ocr) with ``accepted``: the hint reads as code and one of the readings bears it out."""
+    lines = F.filter(F.split("hint", r"\R"), lambda x: F.trim(x) != "")
+    marked = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(CODE_MARKS))))
+    code = F.size(lines).between(2, MOST_CODE_LINES) & (F.length("hint") <= MOST_CODE_CHARS) & (marked >= 2)
+    asked = (c("role") == "code") & (c("confidence") == "high") & c("blocking") & (c("issue_type") == "encoding_problem") & code
+    native = X.with_similarity(blocks, "hint", "native").withColumnRenamed("indel", "_native").drop("sequence")
+    both = X.with_similarity(native, "hint", "ocr").withColumn("accepted", F.coalesce(asked & (F.greatest("_native", "indel") >= LEAST_CODE_SUPPORT), F.lit(False)))
+    return both.select(*blocks.columns, "accepted")
+
+
+@query("p34_code_accepted", "SELECT p_partkey, p_size % 3 <> 0 AND p_partkey % 2 = 0 AS accepted FROM part")
+def p34(spark, folder):
+    code = F.concat(F.lit("def part():\n    return '"), c("p_name"), F.lit("'"))
+    blocks = S.table(spark, folder, "part").select(
+        "p_partkey", F.lit("code").alias("role"), F.when(c("p_size") % 3 == 0, "low").otherwise("high").alias("confidence"), F.lit(True).alias("blocking"), F.lit("encoding_problem").alias("issue_type"),
+        F.when(c("p_partkey") % 2 == 0, code).otherwise(c("p_name")).alias("hint"), F.lit("").alias("native"), F.replace(code, F.lit(" "), F.lit("")).alias("ocr"))
+    return code_accepted(blocks).select("p_partkey", "accepted")
+
+
+# Frequent words of each language.
+FREQUENT_WORDS = {
+    "en": "the of and to a in is that for it was on with be as by are this at",
+    "fr": "de la le et les des en un une du que pour est qui dans par pas au sur avec",
+    "de": "der die und in den von zu das sich mit auf des für ist im dem nicht ein er eine als",
+    "es": "de la que el en y los se del las por un no con su una es para al",
+}
+LEAST_WORDS = 8
+
+
+def frequent_word_language(text: Column) -> Column:
+    """The language whose frequent words make up most of a text; null below eight words or without any of them. Ties go to the first by name."""
+    words = F.split(F.lower(T.collapsed(text)), " ")
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+    hits = F.array(*[F.struct((-count(known.split())).alias("n"), F.lit(lang).alias("lang")) for lang, known in FREQUENT_WORDS.items()])
+    best = F.array_min(hits)
+    return F.when((F.size(words) >= LEAST_WORDS) & (best["n"] < 0), best["lang"])
+
+
+_HITS = ", ".join(f"{{'n': -len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in known.split())}))), 'lang': '{lang}'}}" for lang, known in FREQUENT_WORDS.items())
+
+
+@query("f17_detected_language", rf"""SELECT doc_id, CASE WHEN len(w) >= 8 AND best.n < 0 THEN best.lang END AS lang FROM (SELECT doc_id, w, list_min([{_HITS}]) AS best FROM (
+    SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[ 	
+
+]+', ' ', 'g')), ' ') AS w FROM documents))""")
+def f17(spark, folder):
+    return S.table(spark, folder, "documents").select("doc_id", frequent_word_language(c("text")).alias("lang"))

@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, sf_dir, engine, name):
 ROWS_ONLY = {
     "w10_rebuild_rows", "w11_cluster_words", "j21_optimal_match", "x4_text_similarity", "s2_discover_files", "t8_combine_sources", "m2_step_sessions",
     "f4_repaired_text", "f30_fragments_joined", "f33_scripts", "x1_preservation", "x3_text_drift", "p33_encoding_blocks", "p35_artifact_blocks",
-    "s4_discover_manifests", "x2_tie_break_similarity", "j25_regions_to_elements",
+    "s4_discover_manifests", "x2_tie_break_similarity", "w18_grounded_candidates", "j25_regions_to_elements",
 }
 
 
