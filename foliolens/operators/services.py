@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain, pairwise
 from typing import Any
 
 import pandas as pd
@@ -39,17 +40,34 @@ def with_answers(
     """(page, pos, the columns of the DDL ``answer``, problem): what ``ask`` says to each row.
 
     A batch holds the rows of one page whose places fall in one stretch of ``batch_rows``
-    places, so no batch grows with the page. Rows that stay without an answer have nulls.
+    places, so no batch grows with the page. Rows that stay without an answer have nulls;
+    a null page or place makes a batch of its own rows one by one.
     """
     ship(rows.sparkSession)
     names = [part.split()[0] for part in answer.split(",")]
     keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (page, pos))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
-        answers, problem = asked(ask, pdf.drop(columns="_stretch"), attempts)
-        out = {n: [a.get(n) if a else None for a in answers] for n in names}
-        return pd.DataFrame({page: pdf[page], pos: pdf[pos], **out, "problem": [problem] * len(pdf)})
+    def answered(pdf: pd.DataFrame) -> dict[str, list]:
+        answers, problem = asked(ask, pdf, attempts)
+        return {n: [a.get(n) if a else None for a in answers] for n in names} | {"problem": [problem] * len(pdf)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in chain(frames, [None]):
+            # The last stretch of a frame may go on in the next one, so it waits.
+            pdf = frame if held is None else held if frame is None else pd.concat([held, frame], ignore_index=True)
+            if pdf is None or not len(pdf):
+                continue
+            new = (pdf[[page, "_stretch"]] != pdf[[page, "_stretch"]].shift()).any(axis=1)
+            starts = list(pdf.index[new])
+            if frame is None:
+                starts.append(len(pdf))
+            held = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            told = pdf.iloc[: starts[-1]]
+            if len(told):
+                own = told.drop(columns="_stretch")
+                parts = [answered(own.iloc[i:j]) for i, j in pairwise(starts)]
+                yield pd.DataFrame({page: told[page], pos: told[pos]} | {n: pd.Series([x for part in parts for x in part[n]], dtype=object, index=told.index) for n in [*names, "problem"]})
 
     batched = rows.withColumn("_stretch", F.floor(F.col(pos) / batch_rows))
-    return batched.groupBy(page, "_stretch").applyInPandas(run, f"{keys}, {answer}, problem string")
+    return batched.repartition(page, "_stretch").sortWithinPartitions(page, "_stretch", pos).mapInPandas(run, f"{keys}, {answer}, problem string")

@@ -73,6 +73,18 @@ def test_batches_are_bounded_and_of_one_page(spark):
     assert len(got) == 100 and max(r["n"] for r in got) == 8 and {r["pages"] for r in got} == {1}
 
 
+def test_batches_are_whole_across_arrow_batches_and_nulls_go_alone(spark):
+    rows = spark.range(50).select(F.col("id").alias("pos"), F.when(F.col("id") < 48, F.floor(F.col("id") / 24)).alias("page"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = with_answers(rows, "page", "pos", lambda r: [{"n": len(r)}] * len(r), "n int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r["pos"], r["n"]) for r in got) == [(i, 8 if i < 48 else 1) for i in range(50)]
+    assert with_answers(rows.where("pos < 0"), "page", "pos", lambda r: [], "n int").count() == 0
+
+
 def test_decision_defaults_and_cleaning(spark):
     verdicts = [None, "no json", json.dumps({"confidence": " HIGH", "header_rows": [3, 0, -1, 3], "entry_types": {" a ": " b ", "c": " "}, "entry_text_overrides": {"k": " two   words "}, "alt_text": " ", "is_toc": True})]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(verdicts)], "id int, v string")
