@@ -34,37 +34,12 @@ def text_signals(x):
         (F.rlike(x, F.lit(r"\p{IsLatin}")) & F.rlike(x, F.lit(r"[\p{IsCyrillic}\p{IsHan}\p{IsArabic}]")), "mixed scripts"))
 
 
-@query("p13_ocr_skip_reasons", "SELECT p_partkey, concat_ws(',', CASE WHEN p_type = 'ECONOMY' AND p_size % 4 <> 0 THEN 'digital document' END, CASE WHEN p_partkey % 3 = 0 THEN 'fillable forms present' END, CASE WHEN p_size > CASE WHEN p_size % 4 = 0 THEN 40 ELSE 25 END THEN 'too many pages' END) AS reasons FROM part")
-def p13(spark, folder):
-    suspect = c("p_size") % 4 == 0
-    limit = F.when(suspect, F.greatest(F.lit(25), F.lit(40))).otherwise(25)
-    return S.table(spark, folder, "part").select("p_partkey", joined_when(
-        ((c("p_type") == "ECONOMY") & ~suspect, "digital document"), (c("p_partkey") % 3 == 0, "fillable forms present"), (c("p_size") > limit, "too many pages")).alias("reasons"))
-
-
 @query("p16_benchmark_skip_reasons", "SELECT p_partkey, concat_ws(',', CASE WHEN p_type = 'ECONOMY' THEN 'digital document' END, CASE WHEN p_partkey % 3 = 0 THEN 'fillable forms present' END, CASE WHEN p_partkey % 5 > 0 THEN 'link annotations present' END, CASE WHEN p_size > 25 THEN 'too many pages' END) AS reasons FROM part")
 def p16(spark, folder):
     return S.table(spark, folder, "part").select("p_partkey", joined_when(
         (c("p_type") == "ECONOMY", "digital document"), (c("p_partkey") % 3 == 0, "fillable forms present"), (c("p_partkey") % 5 > 0, "link annotations present"), (c("p_size") > 25, "too many pages")).alias("reasons"))
 
 
-@query("p14_font_lanes", with_frames("violations", """SELECT doc, concat_ws(',', CASE WHEN dict THEN 'repair_font_dicts' END, CASE WHEN uni AND doc % 2 = 0 THEN 'repair_tounicode' END, 'embed_fonts', CASE WHEN uni AND doc % 2 = 1 THEN 'repair_tounicode' END, CASE WHEN uni AND doc % 3 = 0 THEN 'ocr_redo' END) AS lanes
-    FROM (SELECT doc, bool_or(rule_id = 'error' AND count > 95) AS dict, bool_or(rule_id = 'purchase' AND count > 97) AS uni FROM violations WHERE severity = 'error' GROUP BY doc)"""))
-def p14(spark, folder):
-    per = S.violations(spark, folder).where("severity = 'error'").groupBy("doc").agg(
-        F.bool_or((c("rule_id") == "error") & (c("count") > 95)).alias("dict"), F.bool_or((c("rule_id") == "purchase") & (c("count") > 97)).alias("uni"))
-    loose = c("doc") % 2 == 1
-    return per.select("doc", joined_when((c("dict"), "repair_font_dicts"), (c("uni") & ~loose, "repair_tounicode"), (F.lit(True), "embed_fonts"), (c("uni") & loose, "repair_tounicode"), (c("uni") & (c("doc") % 3 == 0), "ocr_redo")).alias("lanes"))
-
-
-@query("p15_benchmark_lanes", with_frames("violations", """SELECT doc, concat_ws(',', CASE WHEN dict THEN 'repair_font_dicts' END, CASE WHEN uni THEN 'repair_tounicode' END, 'embed_fonts', CASE WHEN uni AND doc % 3 = 0 THEN 'ocr_redo' END) AS lanes
-    FROM (SELECT doc, bool_or(rule_id = 'error' AND count > 95) AS dict, bool_or(rule_id = 'purchase' AND count > 97) AS uni FROM violations WHERE severity = 'error' GROUP BY doc)"""))
-def p15(spark, folder):
-    per = S.violations(spark, folder).where("severity = 'error'").groupBy("doc").agg(
-        F.bool_or((c("rule_id") == "error") & (c("count") > 95)).alias("dict"), F.bool_or((c("rule_id") == "purchase") & (c("count") > 97)).alias("uni"))
-    return per.select("doc", joined_when((c("dict"), "repair_font_dicts"), (c("uni"), "repair_tounicode"), (F.lit(True), "embed_fonts"), (c("uni") & (c("doc") % 3 == 0), "ocr_redo")).alias("lanes"))
-
-
 @query("p17_has_font_errors", with_frames("violations", "SELECT doc, bool_or(severity = 'error' AND rule_id LIKE '%purchase%') AS has_errors FROM violations GROUP BY doc"))
 def p17(spark, folder):
     return S.violations(spark, folder).groupBy("doc").agg(F.bool_or((c("severity") == "error") & F.contains(c("rule_id"), F.lit("purchase"))).alias("has_errors"))
@@ -111,28 +86,6 @@ def p32(spark, folder):
     return S.table(spark, folder, "part").select("p_partkey", ((F.length("p_name") <= 64) & (tight(c("p_name")) != "") & (tight(c("p_name")) == tight(other))).alias("apply"))
 
 
-@query("p36_synthesize_figure", """SELECT p_partkey, CASE WHEN p_size / 50.0 < 0.55 THEN 'image_not_dominant' WHEN p_partkey % 7 = 0 THEN 'figure_already_present' WHEN p_partkey % 5 = 0 THEN 'page_contains_fields' WHEN p_partkey % 3 = 0 THEN 'dominant_image_without_text'
-    WHEN p_partkey % 300 <= 260 AND p_partkey % 2 = 0 THEN 'dominant_image_with_sparse_text' WHEN p_partkey % 3 <= 1 AND p_size / 50.0 >= 0.72 THEN 'dominant_image_with_single_text_block' ELSE 'narrative_text_already_present' END AS reason FROM part""")
-def p36(spark, folder):
-    share, blocks = c("p_size") / 50.0, c("p_partkey") % 3
-    reason = (F.when(share < 0.55, "image_not_dominant").when(c("p_partkey") % 7 == 0, "figure_already_present").when(c("p_partkey") % 5 == 0, "page_contains_fields").when(blocks == 0, "dominant_image_without_text")
-              .when((c("p_partkey") % 300 <= 260) & (c("p_partkey") % 2 == 0), "dominant_image_with_sparse_text").when((blocks <= 1) & (share >= 0.72), "dominant_image_with_single_text_block").otherwise("narrative_text_already_present"))
-    return S.table(spark, folder, "part").select("p_partkey", reason.alias("reason"))
-
-
-@query("p38_title_decision", with_frames("page_elements", """SELECT doc, CASE WHEN titles = 0 THEN 'missing' WHEN heads > 0 AND items > 3 THEN 'adjudicate' ELSE 'present' END AS decision FROM (SELECT doc, count(*) FILTER (type = 'title') AS titles, count(*) FILTER (type = 'heading') AS heads, count(*) FILTER (type = 'list_item') AS items FROM page_elements GROUP BY doc)"""))
-def p38(spark, folder):
-    n = S.page_elements(spark, folder).groupBy("doc").agg(*[F.count_if(c("type") == t).alias(a) for t, a in (("title", "titles"), ("heading", "heads"), ("list_item", "items"))])
-    return n.select("doc", F.when(c("titles") == 0, "missing").when((c("heads") > 0) & (c("items") > 3), "adjudicate").otherwise("present").alias("decision"))
-
-
-@query("p39_escalation_plan", with_frames("page_elements", """SELECT lane, count(*) AS docs, count(*) FILTER (go) AS escalated FROM (SELECT unnest(['title', 'toc', 'language']) AS lane, unnest([t <> 1, l > 5, p = 0]) AS go FROM (SELECT doc, count(*) FILTER (type = 'title') AS t, count(*) FILTER (type = 'list_item') AS l, count(*) FILTER (type = 'paragraph') AS p FROM page_elements GROUP BY doc)) GROUP BY lane"""))
-def p39(spark, folder):
-    n = S.page_elements(spark, folder).groupBy("doc").agg(*[F.count_if(c("type") == t).alias(a) for t, a in (("title", "t"), ("list_item", "l"), ("paragraph", "p"))])
-    lanes = F.array(*[F.struct(F.lit(k).alias("lane"), v.alias("go")) for k, v in (("title", c("t") != 1), ("toc", c("l") > 5), ("language", c("p") == 0))])
-    return n.select(F.explode(lanes).alias("x")).groupBy("x.lane").agg(F.count(F.lit(1)).alias("docs"), F.count_if("x.go").alias("escalated"))
-
-
 @query("p41_suppress_child_ui", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND regexp_matches(lower(p_name), '\\b(ring|widget)\\b') AND length(p_name) <= 80")
 def p41(spark, folder):
     return S.table(spark, folder, "part").where((c("p_size") % 2 == 0) & F.rlike(F.lower("p_name"), F.lit(r"\b(ring|widget)\b")) & (F.length("p_name") <= 80)).select("p_partkey")
@@ -168,12 +121,6 @@ def p50(spark, folder):
     return S.table(spark, folder, "conversations").select("conv_id", "turn", ((x != "") & (F.length(x) <= 160) & (T.word_count(c("text")) <= 18) & ~F.rlike(x, F.lit(r"[.!?]\s+[A-Z]")) & F.rlike(x, F.lit(r"\p{L}"))).alias("safe"))
 
 
-@query("p43_rule_coverage", "SELECT p_type, status, count(*) AS n FROM (SELECT p_type, CASE WHEN p_name LIKE 'small%' THEN 'covered' WHEN p_brand = 'Brand#2' THEN 'partial' WHEN p_size > 40 THEN 'unproven' ELSE 'gap' END AS status FROM part) GROUP BY ALL")
-def p43(spark, folder):
-    status = F.when(c("p_name").startswith("small"), "covered").when(c("p_brand") == "Brand#2", "partial").when(c("p_size") > 40, "unproven").otherwise("gap")
-    return S.table(spark, folder, "part").groupBy("p_type", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # Joins.
 @query("j8_update_cells", with_frames("table_cells", """SELECT tbl, string_agg(text || CASE WHEN "row" = h THEN '*' ELSE '' END, ',' ORDER BY col) AS cells FROM table_cells LEFT JOIN (SELECT o_orderkey, (o_orderkey % 3)::INT AS h FROM orders WHERE o_orderstatus = 'F') ON tbl = o_orderkey GROUP BY tbl"""))
 def j8(spark, folder):
