@@ -97,19 +97,6 @@ def p42(spark, folder):
     return S.table(spark, folder, "part").select("p_partkey", ((c("p_size") % 3 == 2) | (c("p_partkey") % 4 == 1) | ((c("p_partkey") % 4 == 2) & (F.trim(alt) == ""))).alias("followup"))
 
 
-@query("p44_valid_permutation", with_frames("blocks", "SELECT page, count(*) > 1 AND count(DISTINCT pos % 5) = count(*) AS valid FROM blocks GROUP BY page"))
-def p44(spark, folder):
-    ids = S.blocks(spark, folder).groupBy("page").agg(F.collect_list(c("pos") % 5).alias("a"))
-    return ids.select("page", ((F.size("a") > 1) & (F.size(F.array_distinct("a")) == F.size("a"))).alias("valid"))
-
-
-@query("p45_valid_table_updates", with_frames("table_cells", "SELECT tbl, bool_and(tbl IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) AS valid FROM table_cells GROUP BY tbl"))
-def p45(spark, folder):
-    known = S.table(spark, folder, "orders").where("o_orderstatus <> 'P'").select(c("o_orderkey").alias("tbl"), F.lit(True).alias("known"))
-    tables = S.table(spark, folder, "lineitem").select(c("l_orderkey").alias("tbl")).distinct()
-    return tables.join(known, "tbl", "left").select("tbl", F.coalesce("known", F.lit(False)).alias("valid"))
-
-
 @query("p48_task_defaults", with_frames("review_tasks", "SELECT task_id, CASE WHEN severity = 'low' THEN 'medium' ELSE severity END AS severity, coalesce(CASE WHEN task_id % 2 = 0 THEN blocking END, true) AS blocking FROM review_tasks"))
 def p48(spark, folder):
     return S.review_tasks(spark, folder).select("task_id", F.coalesce(F.nullif(c("severity"), F.lit("low")), F.lit("medium")).alias("severity"), F.coalesce(F.when(c("task_id") % 2 == 0, c("blocking")), F.lit(True)).alias("blocking"))
@@ -270,11 +257,6 @@ def s20(spark, folder):
     return S.table(spark, folder, "region").join(children, "r_regionkey").select(F.concat("r_name", F.lit(" > "), F.array_join(F.transform("a", lambda x: x["n_name"]), ",")).alias("outline"))
 
 
-@query("g13_semantic_summary", with_frames("page_elements", "SELECT count(*) AS total, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (regexp_matches(tag, '^h[7-9]')) AS illegal, count(*) FILTER (type IN ('list_item', 'paragraph')) AS interesting FROM page_elements"))
-def g13(spark, folder):
-    return S.page_elements(spark, folder).agg(F.count(F.lit(1)).alias("total"), F.count_if(c("type") == "heading").alias("headings"), F.count_if(F.rlike("tag", F.lit("^h[7-9]"))).alias("illegal"), F.count_if(c("type").isin("list_item", "paragraph")).alias("interesting"))
-
-
 @query("g12_tag_coverage", with_frames("page_elements", "SELECT tag, count(*) AS n, count(DISTINCT doc) AS docs FROM page_elements GROUP BY tag"))
 def g12(spark, folder):
     per = S.page_elements(spark, folder).groupBy("tag", "doc").agg(F.count(F.lit(1)).alias("n"))
@@ -287,25 +269,6 @@ def g21(spark, folder):
         F.when(F.count_if("blocking") == 0, "removed").otherwise("upgraded").alias("outcome"), F.array_join(F.array_sort(F.collect_set(F.when(c("blocking"), c("task_type")))), ",").alias("issues"))
 
 
-@query("g28_figure_context", with_frames("boxes", "SELECT box, round(a / max(a) OVER (PARTITION BY page), 6) AS relative FROM (SELECT *, (r - l) * (t - b) AS a FROM boxes)"))
-def g28(spark, folder):
-    return S.boxes(spark, folder).select("box", F.round(G.area(G.box()) / F.max(G.area(G.box())).over(Window.partitionBy("page")), 6).alias("relative"))
-
-
-@query("g29_table_summary", with_frames("review_tasks", "SELECT job_id, min(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS least_rank, CASE WHEN bool_or(task_type = 'alt_text') THEN 'manual' WHEN bool_or(blocking) THEN 'set_headers' ELSE 'confirm' END AS action, count(*) AS n FROM review_tasks GROUP BY job_id"))
-def g29(spark, folder):
-    rank = F.when(c("severity") == "high", 3).when(c("severity") == "medium", 2).otherwise(1)
-    return S.review_tasks(spark, folder).groupBy("job_id").agg(
-        F.min(rank).alias("least_rank"), F.when(F.bool_or(c("task_type") == "alt_text"), "manual").when(F.bool_or("blocking"), "set_headers").otherwise("confirm").alias("action"), F.count(F.lit(1)).alias("n"))
-
-
-@query("g30_table_decisions", with_frames("review_tasks", "SELECT task_type, min(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS least_rank, count(DISTINCT job_id) AS jobs FROM review_tasks WHERE severity <> 'low' GROUP BY task_type"))
-def g30(spark, folder):
-    rank = F.when(c("severity") == "high", 3).when(c("severity") == "medium", 2).otherwise(1)
-    per = S.review_tasks(spark, folder).where("severity <> 'low'").groupBy("task_type", "job_id").agg(F.min(rank).alias("m"))
-    return per.groupBy("task_type").agg(F.min("m").alias("least_rank"), F.count(F.lit(1)).alias("jobs"))
-
-
 @query("g32_merge_chunks", with_frames("blocks", "SELECT role, array_to_string(list_sort(list(DISTINCT pos)), ',') AS indexes, max(length(text))::INT AS most FROM blocks GROUP BY role"))
 def g32(spark, folder):
     return S.blocks(spark, folder).groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("pos")), ",").alias("indexes"), F.max(F.length("text")).alias("most"))
