@@ -78,3 +78,82 @@ def updates_fit(updates: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     known = tables.select("table_id").distinct().withColumn("_known", F.lit(True))
     fits = F.trim(F.coalesce("action", F.lit(""))).isin("", "set_table_headers") & F.coalesce("_known", F.lit(False))
     return updates.join(known, "table_id", "left").groupBy(key).agg(F.bool_and(fits).alias("valid"))
+
+
+def once_in_order(items: Column, sep: str = " ", most: int = REASON_CHARS) -> Column:
+    """Texts of an array of (pos, text), each named once, by their first places; blank ones left out."""
+    texts = F.transform(F.array_sort(items), lambda x: T.collapsed(x["text"]))
+    return F.substring(F.array_join(F.array_distinct(F.filter(texts, lambda x: x != "")), sep), 1, most)
+
+
+def order_summary(items: DataFrame, key: str) -> DataFrame:
+    """One row for each reading-order task from its pages' answers (key, pos, page, confidence, action, reason, summary, ids).
+
+    The least confidence counts; reordering goes before hiding headers, that before manual
+    work. Orders are proposed where a page names ids. Pages of one task are a bounded group.
+    """
+    c = F.col
+    asked = lambda a: F.bool_or(T.collapsed(c("action")) == a)
+    rows = items.groupBy(key).agg(
+        F.min(confidence_rank(c("confidence"))).alias("_rank"), *[asked(a).alias(a) for a in ("reorder_review", "artifact_headers_footers", "manual_only")],
+        *[F.collect_list(F.struct("pos", F.col(n).alias("text"))).alias(f"_{n}") for n in ("reason", "summary")],
+        F.count_if((c("page") > 0) & (F.size(F.filter(F.coalesce("ids", F.expr("cast(array() as array<string>)")), lambda x: F.trim(x) != "")) > 0)).alias("orders"), F.count_if(c("page") > 0).alias("focus"))
+    action = F.when(c("reorder_review"), "reorder_review").when(c("artifact_headers_footers"), "artifact_headers_footers").when(c("manual_only"), "manual_only").otherwise("confirm_current_order")
+    plain = F.when(action == "confirm_current_order", "Current reading order looks acceptable on the reviewed pages.").when(action == "manual_only", "Reading order still needs manual follow-up.").otherwise("Review the proposed reading order changes.")
+    label = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), c("_rank") + 1)
+    return rows.select(key, action.alias("action"), label.alias("confidence"), F.coalesce(F.nullif(once_in_order(c("_summary")), F.lit("")), plain).alias("summary"), once_in_order(c("_reason")).alias("reason"), "orders", "focus")
+
+
+def merged_chunks(chunks: DataFrame, key: str) -> DataFrame:
+    """One row for each candidate list of contents from its chunks (key, pos, is_toc, confidence, reason, caption, entry_indexes, entry_types).
+
+    Only chunks that are contents with high or medium confidence add entries; of types of
+    one entry the last counts, of captions the first; the best confidence of all chunks is
+    the whole's. Chunks of one list are a bounded group.
+    """
+    c = F.col
+    label = F.lower(F.trim(F.coalesce("confidence", F.lit(""))))
+    rank = F.when(label == "high", 2).when(label == "medium", 1).when(label == "low", 0).otherwise(-1)
+    good = F.coalesce(c("is_toc"), F.lit(False)) & (rank >= 1)
+    part = F.struct("pos", "reason", "caption", "entry_indexes", F.map_entries("entry_types").alias("entry_types"))  # maps have no order
+    rows = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_count"), F.max(rank).alias("_rank"), F.array_sort(F.collect_list(F.when(good, part))).alias("_kept"))
+    texts = lambda n: F.filter(F.transform("_kept", lambda e: T.collapsed(e[n])), lambda t: t != "")
+    indexes = F.array_sort(F.array_distinct(F.flatten(F.transform("_kept", lambda e: F.coalesce(e["entry_indexes"], F.expr("cast(array() as array<int>)"))))))
+    none = F.expr("cast(map() as map<string,string>)")
+    full = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
+    tidy = lambda m: F.map_from_entries(F.transform(F.filter(F.coalesce(m, F.map_entries(none)), lambda e: full(e["key"]) & full(e["value"])), lambda e: F.struct(F.trim(e["key"]).alias("key"), F.trim(e["value"]).alias("value"))))
+    later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    types = F.aggregate("_kept", none, lambda m, e: later(m, tidy(e["entry_types"])))
+    best = F.when(c("_rank") >= 0, F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.greatest(c("_rank"), F.lit(0)) + 1)).otherwise("low")
+    return rows.select(
+        key, (F.size("_kept") > 0).alias("is_toc"), best.alias("confidence"), F.array_join(F.slice(texts("reason"), 1, 3), " ").alias("reason"), indexes.alias("entry_indexes"),
+        types.alias("entry_types"), F.coalesce(F.get(texts("caption"), F.lit(0)), F.lit("")).alias("caption"), "chunk_count")
+
+
+EXAMPLES = 5
+
+
+def repair_gate(fonts: DataFrame, key: str) -> DataFrame:
+    """One row for each document from its fonts: whether maps may be repaired by rule, counts, first distinct blocked fonts, and why.
+
+    Fonts have (key, pos, subtype, descendant, embedded, mapped, unread, missing,
+    repairable, policy, base_font) and the document's rule families (unicode_rules,
+    invalid_rules). Fonts of one document are a bounded group.
+    """
+    c = F.col
+    no = lambda n: F.coalesce(c(n), F.lit(0))
+    yes = lambda n: F.coalesce(c(n), F.lit(False))
+    composite = (c("subtype") == "/Type0") & (c("descendant") == "/CIDFontType2") & yes("embedded") & (yes("unicode_rules") | ~yes("mapped") | yes("invalid_rules"))
+    simple = c("subtype").isin("/Type1", "/MMType1", "/TrueType") & (~yes("mapped") | (no("unread") > 0) | (no("missing") > 0) | yes("invalid_rules"))
+    sure = F.coalesce(c("policy"), F.lit("")).isin("explicit", "standard14", "embedded_cff") & ((no("unread") > 0) | (no("repairable") > 0))
+    name = F.coalesce(F.nullif(c("base_font"), F.lit("")), F.lit("(unnamed)"))
+    n = fonts.groupBy(key).agg(
+        F.count_if(composite).alias("safe_type0"), F.count_if(simple & sure).alias("safe_simple"), F.count_if(simple & ~sure).alias("blocked"),
+        F.array_sort(F.collect_list(F.when(simple & ~sure, F.struct("pos", name.alias("text"))))).alias("_names"))
+    examples = F.array_join(F.slice(F.array_distinct(F.transform("_names", lambda x: x["text"])), 1, EXAMPLES), ", ")
+    safe = c("safe_type0") + c("safe_simple")
+    reason = (
+        F.when(safe > 0, "deterministic font candidates available")
+        .when(c("blocked") > 0, F.concat(F.lit("unicode issues appear tied to simple fonts without explicit encoding ("), examples, F.lit(")")))
+        .otherwise("no deterministic ToUnicode candidates found"))
+    return n.select(key, (safe > 0).alias("automatic"), "safe_type0", "safe_simple", "blocked", examples.alias("examples"), reason.alias("reason"))

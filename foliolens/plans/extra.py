@@ -33,12 +33,6 @@ def s2(spark, folder):
     return files.select("path", "length", "modificationTime").dropDuplicates(["path"]).orderBy(F.desc("modificationTime"), "path")
 
 
-@query("g31_order_decisions", with_frames("review_tasks", "SELECT source, min(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS least_rank, CASE WHEN bool_or(blocking AND task_type = 'reading_order') THEN 'reorder' ELSE 'confirm' END AS action FROM review_tasks GROUP BY source"))
-def g31(spark, folder):
-    rank = F.when(c("severity") == "high", 3).when(c("severity") == "medium", 2).otherwise(1)
-    return S.review_tasks(spark, folder).groupBy("source").agg(F.min(rank).alias("least_rank"), F.when(F.bool_or(c("blocking") & (c("task_type") == "reading_order")), "reorder").otherwise("confirm").alias("action"))
-
-
 @query("g34_best_toc_label", with_frames("review_tasks", "SELECT task_type, arg_max(severity, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS best FROM review_tasks WHERE NOT blocking GROUP BY task_type"))
 def g34(spark, folder):
     rank = F.when(c("severity") == "high", 3).when(c("severity") == "medium", 2).otherwise(1)

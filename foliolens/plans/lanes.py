@@ -39,6 +39,19 @@ def p13(spark, folder):
     return S.table(spark, folder, "events").select(c("user_id").alias("doc")).distinct().select("doc", F.array_join(_skip(), "; ").alias("reasons"))
 
 
+@query("p16_benchmark_skip_reasons", """SELECT p_partkey, array_to_string(CASE WHEN p_type = 'ECONOMY' THEN ['digital document'] ELSE [] END || CASE WHEN p_partkey % 3 = 0 THEN ['fillable forms present'] ELSE [] END
+    || CASE WHEN p_partkey % 5 > 0 THEN ['link annotations present'] ELSE [] END || CASE WHEN p_size > 40 THEN ['page count ' || p_size || ' > limit 40'] ELSE [] END, '; ') AS reasons FROM part""")
+def p16(spark, folder):
+    k = c("p_partkey")
+    return S.table(spark, folder, "part").select("p_partkey", F.array_join(L.benchmark_ocr_skip_reasons(F.when(c("p_type") == "ECONOMY", "digital"), k % 5, k % 3 == 0, c("p_size")), "; ").alias("reasons"))
+
+
+@query("p17_has_font_errors", with_frames("violations", f"SELECT doc, bool_or(severity = 'error' AND {_IDS}[(count * 7 + doc) % 8 + 1] LIKE '%-7.21.%') AS has_errors FROM violations GROUP BY doc"))
+def p17(spark, folder):
+    rule = F.element_at(F.array(*map(F.lit, _RULES)), ((c("count") * 7 + c("doc")) % 8 + 1).cast("int"))
+    return S.violations(spark, folder).groupBy("doc").agg(F.bool_or((c("severity") == "error") & L.has_mark(rule, L.FONT_MARKS)).alias("has_errors"))
+
+
 @query("p14_font_lanes", with_frames("violations", f""", {_FLAGS} SELECT doc, array_to_string(CASE WHEN d THEN ['repair_font_dicts'] ELSE [] END || CASE WHEN ok AND NOT later THEN ['repair_tounicode'] ELSE [] END || ['embed_fonts'] || CASE WHEN ok AND later THEN ['repair_tounicode'] ELSE [] END
     || CASE WHEN u AND len(skip) = 0 THEN ['ocr_redo'] ELSE [] END, ',') AS lanes, array_to_string(CASE WHEN u AND gate THEN ['ToUnicode repair skipped: ' || CASE WHEN doc % 7 = 0 THEN 'no codes' ELSE 'no deterministic font candidates' END] ELSE [] END
     || CASE WHEN u AND len(skip) > 0 THEN ['OCR lanes skipped: ' || array_to_string(skip, '; ')] ELSE [] END || CASE WHEN NOT e AND NOT u THEN ['No known font remediation rule family matched'] ELSE [] END, ' | ') AS skipped

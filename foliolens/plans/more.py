@@ -34,17 +34,6 @@ def text_signals(x):
         (F.rlike(x, F.lit(r"\p{IsLatin}")) & F.rlike(x, F.lit(r"[\p{IsCyrillic}\p{IsHan}\p{IsArabic}]")), "mixed scripts"))
 
 
-@query("p16_benchmark_skip_reasons", "SELECT p_partkey, concat_ws(',', CASE WHEN p_type = 'ECONOMY' THEN 'digital document' END, CASE WHEN p_partkey % 3 = 0 THEN 'fillable forms present' END, CASE WHEN p_partkey % 5 > 0 THEN 'link annotations present' END, CASE WHEN p_size > 25 THEN 'too many pages' END) AS reasons FROM part")
-def p16(spark, folder):
-    return S.table(spark, folder, "part").select("p_partkey", joined_when(
-        (c("p_type") == "ECONOMY", "digital document"), (c("p_partkey") % 3 == 0, "fillable forms present"), (c("p_partkey") % 5 > 0, "link annotations present"), (c("p_size") > 25, "too many pages")).alias("reasons"))
-
-
-@query("p17_has_font_errors", with_frames("violations", "SELECT doc, bool_or(severity = 'error' AND rule_id LIKE '%purchase%') AS has_errors FROM violations GROUP BY doc"))
-def p17(spark, folder):
-    return S.violations(spark, folder).groupBy("doc").agg(F.bool_or((c("severity") == "error") & F.contains(c("rule_id"), F.lit("purchase"))).alias("has_errors"))
-
-
 @query("p2_job_projection", with_frames("job_steps", "SELECT job_id, string_agg(step, '>' ORDER BY CASE step WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END, step) AS steps FROM (SELECT DISTINCT job_id, step FROM job_steps) GROUP BY job_id"))
 def p2(spark, folder):
     order = F.create_map(*[F.lit(x) for kv in (("view", 1), ("click", 2), ("signup", 3), ("purchase", 4)) for x in kv])
@@ -269,17 +258,6 @@ def g21(spark, folder):
         F.when(F.count_if("blocking") == 0, "removed").otherwise("upgraded").alias("outcome"), F.array_join(F.array_sort(F.collect_set(F.when(c("blocking"), c("task_type")))), ",").alias("issues"))
 
 
-@query("g32_merge_chunks", with_frames("blocks", "SELECT role, array_to_string(list_sort(list(DISTINCT pos)), ',') AS indexes, max(length(text))::INT AS most FROM blocks GROUP BY role"))
-def g32(spark, folder):
-    return S.blocks(spark, folder).groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("pos")), ",").alias("indexes"), F.max(F.length("text")).alias("most"))
-
-
-@query("g35_repair_gate", with_frames("violations", "SELECT doc, count(*) FILTER (count > 50) AS safe, count(*) FILTER (count <= 50) AS blocked, CASE WHEN count(*) FILTER (count > 50) = 0 THEN 'none' ELSE 'go' END AS gate FROM violations GROUP BY doc"))
-def g35(spark, folder):
-    safe = F.count_if(c("count") > 50)
-    return S.violations(spark, folder).groupBy("doc").agg(safe.alias("safe"), F.count_if(c("count") <= 50).alias("blocked"), F.when(safe == 0, "none").otherwise("go").alias("gate"))
-
-
 @query("g36_font_ranking", with_frames("violations", "SELECT doc, count(*) FILTER (severity = 'error') AS errors, sum(count)::BIGINT AS weight FROM violations GROUP BY doc ORDER BY errors DESC, weight DESC, doc LIMIT 24"))
 def g36(spark, folder):
     return S.violations(spark, folder).groupBy("doc").agg(F.count_if(c("severity") == "error").alias("errors"), F.sum("count").alias("weight")).orderBy(F.desc("errors"), F.desc("weight"), "doc").limit(24)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.operators.reviews import figure_context, order_fits, table_summary, updates_fit
+from foliolens.operators.reviews import figure_context, merged_chunks, order_fits, order_summary, repair_gate, table_summary, updates_fit
 from foliolens.plans.registry import query
 from foliolens.sources import frames as S
 from foliolens.sources.frames import with_frames
@@ -75,3 +75,45 @@ def p45(spark, folder):
     updates = S.table(spark, folder, "orders").where("o_orderstatus <> 'O'").select("o_custkey", c("o_orderkey").alias("table_id"), action.alias("action"))
     tables = S.table(spark, folder, "lineitem").where("l_quantity > 30").select(c("l_orderkey").alias("table_id"))
     return updates_fit(updates, tables, "o_custkey")
+
+
+@query("g31_order_decisions", with_frames("review_tasks", """, x AS (SELECT job_id, min(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS k, bool_or(task_id % 7 = 0) AS o, bool_or(task_id % 7 = 1) AS h, bool_or(task_id % 7 = 2) AS m,
+    count(*) FILTER (task_id % 7 = 0) AS orders, count(*) FILTER (task_id % 3 > 0) AS focus FROM review_tasks GROUP BY job_id),
+    r AS (SELECT job_id, string_agg(source, ' ' ORDER BY p) AS reason FROM (SELECT job_id, source, min(task_id) AS p FROM review_tasks WHERE blocking GROUP BY ALL) GROUP BY job_id)
+    SELECT job_id, a AS action, ['low', 'medium', 'high'][k + 1] AS confidence, CASE a WHEN 'confirm_current_order' THEN 'Current reading order looks acceptable on the reviewed pages.' WHEN 'manual_only' THEN 'Reading order still needs manual follow-up.' ELSE 'Review the proposed reading order changes.' END AS summary,
+    coalesce(reason, '') AS reason, o2 AS orders, focus FROM (SELECT *, CASE WHEN o THEN 'reorder_review' WHEN h THEN 'artifact_headers_footers' WHEN m THEN 'manual_only' ELSE 'confirm_current_order' END AS a, n.c AS o2 FROM x
+    JOIN (SELECT job_id, count(*) FILTER (task_id % 7 = 0 AND task_id % 3 > 0) AS c FROM review_tasks GROUP BY job_id) n USING (job_id)) LEFT JOIN r USING (job_id)"""))
+def g31(spark, folder):
+    k = c("task_id")
+    rows = S.review_tasks(spark, folder).select(
+        "job_id", k.alias("pos"), (k % 3).alias("page"), c("severity").alias("confidence"), F.element_at(F.array(*map(F.lit, ["reorder_review", "artifact_headers_footers", " manual_only", "", "", "", ""])), (k % 7 + 1).cast("int")).alias("action"),
+        F.when(c("blocking"), c("source")).alias("reason"), F.lit(" ").alias("summary"), F.when(k % 7 == 0, F.array(F.lit("a"), F.lit(" "))).when(k % 7 == 1, F.array(F.lit(" "))).alias("ids"))
+    return order_summary(rows, "job_id")
+
+
+@query("g32_merge_chunks", with_frames("blocks", """, x AS (SELECT page, pos, pos % 2 = 0 AS is_toc, CASE page % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, role FROM blocks)
+    SELECT page, bool_or(is_toc AND confidence <> 'low') AS is_toc, any_value(confidence) AS confidence, coalesce(array_to_string((list(role ORDER BY pos) FILTER (is_toc AND confidence <> 'low'))[1:3], ' '), '') AS reason,
+    coalesce(array_to_string(list_sort(list(DISTINCT pos % 4) FILTER (is_toc AND confidence <> 'low')), ','), '') AS entry_indexes, arg_max(role, pos) FILTER (is_toc AND confidence <> 'low') AS last_type,
+    coalesce(arg_min('c' || pos, pos) FILTER (is_toc AND confidence <> 'low' AND pos > 0), '') AS caption, count(*) AS chunk_count FROM x GROUP BY page"""))
+def g32(spark, folder):
+    """Each turn as a chunk: even ones are contents; the type of the one shared entry is the last turn's."""
+    label = F.element_at(F.array(F.lit("high"), F.lit(" Medium"), F.lit("low")), (c("page") % 3 + 1).cast("int"))
+    rows = S.blocks(spark, folder).select(
+        "page", "pos", (c("pos") % 2 == 0).alias("is_toc"), label.alias("confidence"), c("role").alias("reason"), F.when(c("pos") > 0, F.concat(F.lit("c"), c("pos").cast("string"))).alias("caption"),
+        F.array((c("pos") % 4).cast("int")).alias("entry_indexes"), F.create_map(F.lit("e"), "role").alias("entry_types"))
+    found = merged_chunks(rows, "page")
+    return found.select("page", "is_toc", "confidence", "reason", F.array_join(F.transform("entry_indexes", lambda x: x.cast("string")), ",").alias("entry_indexes"), c("entry_types")["e"].alias("last_type"), "caption", "chunk_count")
+
+
+@query("g35_repair_gate", """WITH f AS (SELECT p_partkey // 7 AS doc, p_partkey AS pos, CASE WHEN p_partkey % 4 = 0 THEN '0' WHEN p_partkey % 4 < 3 THEN 's' ELSE 'x' END AS s, p_size % 2 = 0 AS mapped, p_size % 5 = 0 AS unread, p_partkey % 3 = 0 AS explicit, p_brand AS base, p_partkey // 7 % 2 = 0 AS uni FROM part),
+    g AS (SELECT *, s = '0' AND (uni OR NOT mapped) AS t0, s = 's' AND (NOT mapped OR unread) AS need FROM f), h AS (SELECT doc, count(*) FILTER (t0) AS safe_type0, count(*) FILTER (need AND explicit AND unread) AS safe_simple, count(*) FILTER (need AND NOT (explicit AND unread)) AS blocked FROM g GROUP BY doc),
+    e AS (SELECT doc, array_to_string((list(base ORDER BY p))[1:5], ', ') AS examples FROM (SELECT doc, base, min(pos) AS p FROM g WHERE need AND NOT (explicit AND unread) GROUP BY ALL) GROUP BY doc)
+    SELECT doc, safe_type0 + safe_simple > 0 AS automatic, safe_type0, safe_simple, blocked, coalesce(examples, '') AS examples, CASE WHEN safe_type0 + safe_simple > 0 THEN 'deterministic font candidates available'
+    WHEN blocked > 0 THEN 'unicode issues appear tied to simple fonts without explicit encoding (' || examples || ')' ELSE 'no deterministic ToUnicode candidates found' END AS reason FROM h LEFT JOIN e USING (doc)""")
+def g35(spark, folder):
+    k, doc = c("p_partkey"), F.floor(c("p_partkey") / 7)
+    fonts = S.table(spark, folder, "part").select(
+        doc.alias("doc"), k.alias("pos"), F.when(k % 4 == 0, "/Type0").when(k % 4 == 1, "/Type1").when(k % 4 == 2, "/TrueType").otherwise("/Type3").alias("subtype"), F.lit("/CIDFontType2").alias("descendant"), F.lit(True).alias("embedded"),
+        (c("p_size") % 2 == 0).alias("mapped"), (c("p_size") % 5 == 0).cast("int").alias("unread"), F.lit(0).alias("missing"), F.lit(None).cast("int").alias("repairable"), F.when(k % 3 == 0, "explicit").alias("policy"),
+        c("p_brand").alias("base_font"), (doc % 2 == 0).alias("unicode_rules"), F.lit(False).alias("invalid_rules"))
+    return repair_gate(fonts, "doc")
