@@ -357,11 +357,11 @@ LEAST_WORDS = 8
 
 def frequent_word_language(text: Column) -> Column:
     """The language whose frequent words make up most of a text; null below eight words or without any of them. Ties go to the first by name."""
-    words = F.split(F.lower(T.collapsed(text)), " ")
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    hits = F.array(*[F.struct((-count(known.split())).alias("n"), F.lit(lang).alias("lang")) for lang, known in FREQUENT_WORDS.items()])
+    words = F.concat(F.lit(" "), F.lower(T.collapsed(text)), F.lit(" "))
+    count = lambda known: F.regexp_count(words, F.lit(f"(?<= )(?:{known.replace(' ', '|')})(?= )"))
+    hits = F.array(*[F.struct((-count(known)).alias("n"), F.lit(lang).alias("lang")) for lang, known in FREQUENT_WORDS.items()])
     best = F.array_min(hits)
-    return F.when((F.size(words) >= LEAST_WORDS) & (best["n"] < 0), best["lang"])
+    return F.when((T.word_count(text) >= LEAST_WORDS) & (best["n"] < 0), best["lang"])
 
 
 _HITS = ", ".join(f"{{'n': -len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in known.split())}))), 'lang': '{lang}'}}" for lang, known in FREQUENT_WORDS.items())
