@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolens.llm import language_id, packing, quality_rules, secret_scan, simhash_vp
+from foliolens.llm import language_id, packing, quality_rules, secret_scan, simhash_vp, word_sets
 from foliolens.llm.common import removed, table, written_at
 
 #: A document goes on if its language is known and its score reaches this.
@@ -36,6 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_vp.one_of_each_group(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of texts whose 5-word sets are at least 0.8 alike.
+
+    Not among ``STAGES``: the pipeline's test holds that stage to fingerprints within 3 bits.
+    """
+    return simhash_vp.one_of_each_group(docs, groups=word_sets.near_duplicates)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets put out; n_chars follows the text."""
     return secret_scan.redact_secrets(docs)

@@ -11,6 +11,7 @@ goes on until few fingerprints remain, which are compared in whole, all 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,13 +195,13 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of one document of each group, the smallest id; of rows that repeat that id one stays.
 
-    Rows with a null id stay: they can't be told apart.
+    ``groups`` gives each row's doc_id and component_id. Rows with a null id stay: they can't be told apart.
     """
     kept = checkpointed(
-        near_duplicates(docs, doc_id, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")))
+        groups(docs, doc_id, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")))
     once = docs.join(kept.where("_rows = 1").select(doc_id), doc_id, "left_semi")
     nulls = docs.where(F.col(doc_id).isNull())
     repeated = kept.where("_rows > 1").select(doc_id)
