@@ -62,6 +62,11 @@ def matches_text(actual: Column, expected: Column, exact: bool) -> Column:
     return (a != "") & (b != "") & ((a == b) if exact else F.contains(a, b))
 
 
+def matches_title(actual: Column, expected: Column) -> Column:
+    a, b = title_key(actual), title_key(expected)
+    return (a != "") & (b != "") & F.contains(a, b)
+
+
 def matches_contiguous_terms(actual: Column, expected: Column) -> Column:
     a, b = loose(actual), loose(expected)
     return (a != "") & (b != "") & F.contains(F.concat(F.lit(" "), a, F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" ")))
