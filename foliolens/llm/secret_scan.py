@@ -68,7 +68,8 @@ _RULES: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]
     "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), lambda m: _is_jwt(m[0])),
     "google": (("aiza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"), lambda m: True),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}+"), lambda m: True),
-    "private_key": (("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"), lambda m: True),
+    # To the END line of the same label where that comes next; else header lines and all that base64 can be.
+    "private_key": (("-----begin ",), re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1-----|(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)"), lambda m: True),
 }
 #: A run of hexadecimal digits has no keyword; the pattern skips to runs that are long enough.
 _HEX = re.compile(r"[0-9a-f]{24,}+")

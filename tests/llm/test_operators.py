@@ -152,6 +152,17 @@ def test_checksums_decide(spark):
     assert secret_scan.redacted("a password=abcdef1 b", secret_scan.find_secrets("a password=abcdef1 b")) == "a [SECRET] b"
 
 
+def test_private_keys_are_whole_with_header_lines():
+    body = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\nMIIEow+/IBAAKCAQ==\nq83vEjRWeJA=\n"
+    for inner, end in ((body, "-----END RSA PRIVATE KEY-----"), (body.replace("\n", "\\n"), "-----END RSA PRIVATE KEY-----"), (body.replace("\n", " "), "-----END RSA PRIVATE KEY-----"), (body.strip(), "")):
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{inner}{end}"
+        text = f"a {key}"
+        assert ("private_key", 2, len(text)) in secret_scan.find_secrets(text)
+        if end:
+            assert secret_scan.redacted(f"{text} b", [s for s in secret_scan.find_secrets(f"{text} b") if s[0] == "private_key"]) == "a [SECRET] b"
+    assert len(secret_scan.find_secrets("-----BEGIN PRIVATE KEY-----a" * 20_000)) == 20_000
+
+
 # Op 5.
 def _base_pii(text: str) -> list[tuple[str, int, int]]:
     digits = lambda s: re.sub(r"[^0-9]", "", s)
