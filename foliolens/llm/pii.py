@@ -27,7 +27,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NO_DIGITS = str.maketrans("", "", " ().-+")
 
@@ -76,6 +77,20 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, free))
 
 
+def _ibans(text: str):
+    """Of the stretches that end with a word, the longest whose check digits hold; words after a number are not part of it."""
+    m = _IBAN.search(text)
+    while m:
+        free = m.start() + 4
+        for end in reversed([e.start() for e in _WORD_END.finditer(text, free, m.end() + 1) if e.start() <= m.end()]):
+            body = text[m.start() : end].replace(" ", "")
+            if len(body) >= 15 and mod97_holds(body):
+                yield m.start(), end
+                free = end
+                break
+        m = _IBAN.search(text, free)
+
+
 def _proposed(text: str):
     """(kind, start, end) of every span that its validator confirms; per kind leftmost, without overlap."""
     if "@" in text:
@@ -92,10 +107,8 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(m[0].translate(_NO_DIGITS)) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        body = m[0].replace(" ", "")
-        if 15 <= len(body) <= 34 and mod97_holds(body):
-            yield "iban", m.start(), m.end()
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 
@@ -103,7 +116,8 @@ def _proposed(text: str):
 def find_pii(text: str | None) -> list[Span]:
     """All spans (kind, start, end, score) of a whole text in code points, by start, then kind as listed.
 
-    A failing match uses up its characters and isn't tried again inside. Null and empty
+    A failing match uses up its characters and isn't tried again inside, but for account
+    numbers, which are tried from each word on. Null and empty
     texts have none.
     """
     if not text:

@@ -193,6 +193,15 @@ def test_pii_checksums_and_context():
     assert len(pii.find_pii("1" * 200_000 + "@" * 1000 + "a" * 200_000)) == 0
 
 
+def test_account_numbers_before_and_after_other_words():
+    number = "DE89 3704 0044 0532 0130 00"
+    for before, after in (("IBAN ", " BIC COBADEFFXXX"), ("", " BIC"), ("IBAN ", ", BIC COBADEFFXXX"), ("AB12 ", " X"), ("", " Bank"), ("", " 12 34"), ("", "")):
+        text = before + number + after
+        assert [s[:3] for s in pii.find_pii(text) if s[0] == "iban"] == [("iban", len(before), len(before) + len(number))]
+    assert not [s for s in pii.find_pii(f"{number}1 {number}x x{number} {number[:-1]}") if s[0] == "iban"]
+    assert [s[1] for s in pii.find_pii(f"{number} {number}") if s[0] == "iban"] == [0, len(number) + 1]
+
+
 # Op 6.
 def _brute_links(x: np.ndarray) -> np.ndarray:
     unit = x / np.linalg.norm(x, axis=1)[:, None]
