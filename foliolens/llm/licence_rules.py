@@ -132,17 +132,18 @@ def licence_sentences(text: str) -> list[tuple[str | None, int, int]]:
     """(identifier or None, start, end) of the sentences; wrapped and inner-stopped sentences are joined.
 
     A known sentence may be wrapped over lines or hold stops of its own, so from each
-    piece up to twelve are tried together, the longest known first.
+    piece as many are tried together as the longest known sentence can span, the longest
+    known first. Pieces without words are none.
     """
-    pieces = list(_pieces(text))
-    known, words = _known(), [normalised(text[a:b]) for a, b in pieces]
+    found = [(span, words) for span in _pieces(text) if (words := normalised(text[span[0] : span[1]]))]
+    pieces, words, known = [x[0] for x in found], [x[1] for x in found], _known()
     starts = _starts()
     out, i = [], 0
     while i < len(pieces):
         hit = None
-        if words[i] and any(words[i].startswith(s) or s.startswith(words[i]) for s in starts.get(words[i].split(" ", 1)[0], ())):
+        if any(words[i].startswith(s) or s.startswith(words[i]) for s in starts.get(words[i].split(" ", 1)[0], ())):
             joined = ""
-            for k in range(i, min(i + 12, len(pieces))):
+            for k in range(i, len(pieces)):
                 joined = f"{joined} {words[k]}".strip()
                 if len(joined) > _longest():
                     break
@@ -152,8 +153,7 @@ def licence_sentences(text: str) -> list[tuple[str | None, int, int]]:
             out.append((hit[0], pieces[i][0], pieces[hit[1]][1]))
             i = hit[1] + 1
         else:
-            if words[i]:
-                out.append((None, *pieces[i]))
+            out.append((None, *pieces[i]))
             i += 1
     return out
 

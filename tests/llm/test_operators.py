@@ -263,6 +263,17 @@ def test_licences_of_all_documents(spark, documents):
     assert got == {i: len(wanted.findall(t or "")) for i, t in zip(documents.doc_id, documents.text, strict=True)}
 
 
+def test_known_sentences_wrapped_over_many_lines():
+    import textwrap
+
+    for key, texts in licence_rules.SENTENCES.items():
+        for width in (20, 35):
+            text = textwrap.fill(texts[0], width, break_long_words=False, break_on_hyphens=False).replace("\n", "\n * ")
+            assert [s for s in licence_rules.licence_sentences(text) if s[0]] == [(key, 0, len(text))]
+    mit = "\n--\n".join(textwrap.fill(licence_rules.SENTENCES[k][0], 30) for k in ("mit-grant", "mit-notice", "mit-warranty"))
+    assert licence_rules.find_licences(mit) == [("MIT", 0, len(mit), ("mit-grant", "mit-notice", "mit-warranty"))]
+
+
 # Op 8.
 def _brute_fingerprint(text: str | None) -> int:
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
