@@ -183,7 +183,7 @@ def f34(spark, folder):
 
 @query("x1_preservation")
 def x1(spark, folder):
-    """Share of a turn's characters kept by the passage of its conversation, and the best partial match."""
+    """Share of a turn's characters kept by the passage of its conversation."""
     ship(spark)
     gold = S.table(spark, folder, "benchmark").select(c("item_id").alias("conv_id"), c("text").alias("a"))
     pairs = S.table(spark, folder, "conversations").select("conv_id", "turn", c("text").alias("b")).join(gold, "conv_id")
