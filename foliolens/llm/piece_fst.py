@@ -1,19 +1,26 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (dummy prefix, blanks to
-the blank mark), the pieces (an acceptor over characters whose arcs carry a piece's
-weight), and the byte fallback (an unknown character to its UTF-8 bytes). For a merge
-model a fourth, over pieces, gives weight infinity to two neighbours that merging would
-never leave side by side; the piece weights of such a model are merge ranks, not
-log-probabilities, and alone would pick other paths. The input is composed with the
-machines state by state, and the encoding is the shortest path in the tropical semiring
-(sums along a path, minimum over paths). Decoding runs the machines backwards.
+Three machines are compiled from a model file: the normaliser (character map,
+user-defined pieces, blanks to the blank mark, dummy prefix), the pieces (a trie whose
+states are prefixes; at the end of a piece an arc leads back to the start and carries the
+piece's weight), and the byte fallback (a character without a piece to its UTF-8 bytes).
+For a merge model a fourth, over neighbouring pieces, holds the merge order: weight 0
+where merging leaves the two side by side, infinity elsewhere, told from the ranks of the
+merges that made them. The piece weights of such a model are merge ranks, not
+log-probabilities, and alone would pick other paths.
+
+The input is composed with the machines on the way, place by place: a state is a place
+and, in a merge model, the piece that ends there. The encoding is the shortest path in
+the tropical semiring (sums along a path, minimum over paths). Stretches between which
+the piece machine is back in its start state are composed apart and remembered. Decoding
+runs the machines backwards.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -30,7 +37,7 @@ CACHE_SEGMENTS, CACHE_PAIRS = 600_000, 1_000_000
 
 # Fixed values of the public model format: field numbers and piece types.
 _PIECES, _TRAINER, _NORMALISER = 1, 2, 3
-_MODEL_TYPE, _BYTE_FALLBACK, _CHARSMAP, _DUMMY_PREFIX, _EXTRA_SPACES, _ESCAPE = 3, 35, 2, 3, 4, 5
+_MODEL_TYPE, _SUFFIX, _UNKNOWN_SURFACE, _CHARSMAP, _DUMMY_PREFIX, _EXTRA_SPACES, _ESCAPE = 3, 24, 44, 2, 3, 4, 5
 _NORMAL, _UNKNOWN_TYPE, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _MERGES = 1, 2
 
@@ -64,16 +71,96 @@ def _fields(raw: bytes):
         yield key >> 3, value
 
 
+class Normaliser:
+    """The transducer from a text to what pieces are read from.
+
+    Its arcs take blanks to the blank mark, the keys of a character map to their
+    replacements and user-defined pieces to themselves, the longest first; any other
+    character is an arc to itself, and runs of those are taken at once. Where extra blanks
+    go, two states tell whether a blank would be one (at the start, and after a blank).
+    Without a map and with all blanks kept there is one state, applied as a translation.
+    """
+
+    def __init__(self, charsmap: dict[str, str], user: list[str], dummy_prefix: bool, trim: bool, escape: bool, suffix: bool) -> None:
+        self.trim, self.blank, self.at_end = trim, BLANK if escape else " ", suffix
+        self.affix = self.blank if dummy_prefix else ""
+        self.arcs: dict = {}
+        for key, out in [*charsmap.items(), *((u, None) for u in user)]:  # None: itself, before any map
+            node = self.arcs
+            for c in key:
+                node = node.setdefault(c, {})
+            node[""] = out
+        self.translation = None if self.arcs or trim else {" ": self.blank}
+        self.table = str.maketrans({" ": self.blank})
+        self.special = re.compile("[" + "".join(map(re.escape, {" ", *self.arcs})) + "]")
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        body = text if self.translation else self._mapped(text)
+        body = (self.affix if not self.at_end else "") + body.translate(self.table)
+        if self.trim:  # marks that stood in the text go like blanks
+            body = body.rstrip(self.blank)
+        return body + self.affix if self.at_end and body else body
+
+    def _mapped(self, text: str) -> str:
+        out, at, after_blank = [], 0, self.trim
+        while at < len(text):
+            found = self.special.search(text, at)
+            start = found.start() if found else len(text)
+            if start > at:
+                out.append(text[at:start])
+                after_blank, at = False, start
+                continue
+            piece, end = text[at], at + 1
+            node, k, own = self.arcs, at, False
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if "" in node and (node[""] is None or not own):
+                    own = own or node[""] is None
+                    piece, end = text[at:k] if node[""] is None else node[""], k
+            if after_blank:
+                piece = piece.lstrip(" ")
+            if piece:
+                out.append(piece)
+                after_blank = self.trim and piece.endswith(" ")
+            at = end
+        return "".join(out)
+
+
+def read_charsmap(raw: bytes) -> dict[str, str]:
+    """Keys and replacements of a compiled character map: a double-array trie, then strings that end in a zero byte."""
+    size = int.from_bytes(raw[:4], "little")
+    units, strings = np.frombuffer(raw[4 : 4 + size], "<u4").astype(np.int64), raw[4 + size :]
+    offsets = (units >> 10) << ((units & 512) >> 6)
+    labels = units & 0x800000FF
+    found, bytes_ = {}, np.arange(1, 256)
+    open_ = [(int(offsets[0]), b"")]
+    while open_:
+        node, key = open_.pop()
+        places = node ^ bytes_
+        places, own = places[places < len(units)], bytes_[places < len(units)]
+        for c in own[labels[places] == own].tolist():
+            child = int(node ^ c ^ offsets[node ^ c])
+            if units[node ^ c] >> 8 & 1:
+                at = int(units[child] & 0x7FFFFFFF)
+                found[(key + bytes([c])).decode("utf-8", "replace")] = strings[at : strings.index(b"\0", at)].decode("utf-8", "replace")
+            open_.append((child, key + bytes([c])))
+    return found
+
+
 class PieceTransducer:
-    """The compiled machines of one model file."""
+    """The compiled machines of one model file, and their composition with an input."""
 
-    def __init__(self, model: str) -> None:
-        raw = open(model, "rb").read()  # noqa: SIM115
+    def __init__(self, model: str | bytes) -> None:
+        raw = model if isinstance(model, bytes) else open(model, "rb").read()  # noqa: SIM115
         self.pieces: list[str] = []
         self.weights: list[float] = []
         self.bytes_of: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.arcs: dict[str, int] = {}
+        self.unused: set[str] = set()
+        self.user: list[str] = []
         self.unknown = 0
         trainer: dict[int, object] = {}
         normaliser: dict[int, object] = {}
@@ -90,118 +177,141 @@ class PieceTransducer:
                     self.byte_ids[int(piece[3:5], 16)] = i
                 elif kind == _UNKNOWN_TYPE:
                     self.unknown = i
-                elif kind == _USER:
-                    raise ValueError("models with user-defined pieces are not supported")
-                elif kind == _NORMAL:
+                elif kind in (_NORMAL, _USER, _UNUSED):
                     self.arcs[piece] = i
+                    if kind == _USER:
+                        self.user.append(piece)
+                    elif kind == _UNUSED:
+                        self.unused.add(piece)
             elif number == _TRAINER:
                 trainer = dict(_fields(value))
             elif number == _NORMALISER:
                 normaliser = dict(_fields(value))
-        if normaliser.get(_CHARSMAP):
-            raise ValueError("models with a character map are not supported")
         self.merges = trainer.get(_MODEL_TYPE, _UNIGRAM) == _MERGES
-        self.dummy_prefix = bool(normaliser.get(_DUMMY_PREFIX, 1))
-        self.trim_spaces = bool(normaliser.get(_EXTRA_SPACES, 1))
-        #: Lengths of the pieces that begin with two characters, the longest first.
-        self.sizes: dict[str, tuple[int, ...]] = {}
-        begun: dict[str, set[int]] = {}
-        for p in self.arcs:
-            begun.setdefault(p[:2], {1}).add(len(p))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in begun.items()}
+        self.bytes_of[self.unknown] = trainer.get(_UNKNOWN_SURFACE, " \u2047 ".encode()) if self.pieces else b""
+        self.dummy_prefix, self.trim_spaces = bool(normaliser.get(_DUMMY_PREFIX, 1)), bool(normaliser.get(_EXTRA_SPACES, 1))
+        self.suffix = bool(trainer.get(_SUFFIX, 0))
+        self.normalised = Normaliser(
+            read_charsmap(normaliser[_CHARSMAP]) if normaliser.get(_CHARSMAP) else {}, self.user,
+            self.dummy_prefix, self.trim_spaces, bool(normaliser.get(_ESCAPE, 1)), self.suffix)
+        normal = [self.weights[k] for p, k in self.arcs.items() if p not in self.unused and p not in self.user]
+        #: Weight of the arc that takes a character without a piece of its own.
+        self.fallback_weight = 10.0 + max(normal, default=0.0)
+        if not self.merges:
+            for u in self.user:  # a fixed light weight, lighter by length only where scores are above zero
+                self.weights[self.arcs[u]] = len(u.encode()) * min([0.0, *normal]) + 0.1
+            self.arcs = {p: k for p, k in self.arcs.items() if p not in self.unused}
+        #: In a merge model a user-defined piece is cut out before pieces are read.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.merges and self.user else None
         #: Neighbours inside some piece; between any others the machine is back in its start state.
         self.inside = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
-        self.lengths = sorted({len(p) for p in self.arcs})
-        #: Weight of the fallback arc: beyond any path of pieces.
-        self.fallback_weight = 10.0 + max((w for w in self.weights if w < 1e6), default=0.0)
         # A blank mark begins a piece and never follows another character in one, and a line break is in none:
         # then the machine is back in its start state at each, and segments are independent.
         inner = any(BLANK in p.lstrip(BLANK) for p in self.arcs)
         self.segment = None if inner else re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n" if not any("\n" in p for p in self.arcs) else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
+        #: What is composed on the way: states of the piece machine, weights of neighbours, how a piece was merged.
+        self.trie: list[dict[str, int]] = []
+        self.ends: list[bool] = []
+        self.longest = 1
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if len(self.pieces) <= 65_536 else "<u4")
 
-    # Normaliser.
-    def normalised(self, text: str) -> str:
-        if self.trim_spaces:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return ((" " if self.dummy_prefix else "") + text).replace(" ", BLANK)
-
-    # Pieces.
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves of a short text: the best neighbours first, the leftmost of equals."""
-        row = list(text)
+    # Piece machine: a trie whose states are prefixes; where a piece ends, an arc leads back to the start.
+    def _compile(self) -> None:
+        self.trie, self.ends, self.longest = [{}], [False], max(map(len, self.arcs), default=1)
+        for piece in self.arcs:
+            if self.merges and (len(piece) > 1 and not self.merged_from(piece)):
+                continue  # merging never makes it
+            state = 0
+            for c in piece:
+                nxt = self.trie[state].get(c)
+                if nxt is None:
+                    nxt = self.trie[state][c] = len(self.trie)
+                    self.trie.append({})
+                    self.ends.append(False)
+                state = nxt
+            self.ends[state] = True
+
+    # Merge order, as weights of neighbours.
+    def _rank(self, piece: str) -> float:
+        k = self.arcs.get(piece)
+        return INFINITY if k is None else self.weights[k]
+
+    def _meet(self, left: str, right: str, whole: bool) -> bool:
+        """Whether merging leaves two pieces side by side (``whole``: until it merges the two).
+
+        The last merges of both are undone, latest first. Pieces that face each other on
+        the way were neighbours until the piece just undone was merged; a merge of the two
+        that ranks before it would have come first. Of equal ranks the left one is first.
+        """
+        limit, ties = INFINITY, False
         while True:
-            best, at = INFINITY, -1
-            for i in range(len(row) - 1):
-                k = self.arcs.get(row[i] + row[i + 1])
-                if k is not None and self.weights[k] < best:
-                    best, at = self.weights[k], i
-            if at < 0:
-                return row
-            row[at : at + 2] = [row[at] + row[at + 1]]
+            if not whole:
+                k = self._rank(left + right)
+                if k < limit or ties and k == limit:
+                    return False
+            whole = False
+            made_left = self._rank(left) if len(left) > 1 else -INFINITY
+            made_right = self._rank(right) if len(right) > 1 else -INFINITY
+            if made_left == made_right == -INFINITY:
+                return True
+            if made_left > made_right:
+                limit, ties, left = made_left, False, self.merged_from(left)[1]
+            else:
+                limit, ties, right = made_right, True, self.merged_from(right)[0]
+
+    def merged_from(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes a piece from its characters; None if none does."""
+        if piece not in self.halves:
+            self.halves[piece] = next((
+                (piece[:i], piece[i:]) for i in range(1, len(piece))
+                if all(len(x) == 1 or x in self.arcs and x not in self.user and self.merged_from(x) for x in (piece[:i], piece[i:])) and self._meet(piece[:i], piece[i:], True)), None)
+        return self.halves[piece]
 
     def pair_weight(self, left: str, right: str) -> float:
-        """0 where merging can leave the two pieces side by side (the first may be empty), infinity elsewhere."""
-        key = (left, right)
-        ok = self.pairs.get(key)
+        """0 where merging leaves the two pieces side by side (the first may be empty), infinity elsewhere."""
+        if not left or not self.merges:
+            return 0.0
+        ok = self.pairs.get((left, right))
         if ok is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+            ok = self.pairs[left, right] = self._meet(left, right, False)
         return 0.0 if ok else INFINITY
 
+    # Composition and shortest path.
+    def _piece_ends(self, text: str, at: int) -> list[int]:
+        """Where the pieces end that can be read from a place: the arcs of the piece machine composed with the input."""
+        trie, ends, found, state, k = self.trie, self.ends, [], 0, at
+        while k < len(text):
+            state = trie[state].get(text[k])
+            if state is None:
+                break
+            k += 1
+            if ends[state]:
+                found.append(k)
+        return found
+
     def shortest_path(self, text: str) -> list[str]:
-        """The pieces (or unknown characters) on the shortest path over a normalised segment."""
+        """The pieces (or characters without one) on the path of least weight over a normalised segment."""
+        if not self.trie:
+            self._compile()
         return self._merge_path(text) if self.merges else self._score_path(text)
 
-    def _merge_path(self, text: str) -> list[str]:
-        # Paths of finite weight weigh nothing, so the first complete one is shortest. States are made as they are
-        # reached, longest pieces first; a position from which no path leads on is not entered again (the pieces
-        # before a position are the same on every path of finite weight to it).
-        arcs, pairs, sizes = self.arcs, self.pairs, self.sizes
-        path: list[str] = []
-        open_: list = [iter(sizes.get(text[:2], (1,)))]
-        dead: set[int] = set()
-        at, n, last = 0, len(text), ""
-        while at < n:
-            for size in open_[-1]:
-                piece = text[at : at + size]
-                if size > 1 and piece not in arcs or len(piece) < size or at + size in dead:
-                    continue
-                ok = pairs.get((last, piece))
-                if ok or ok is None and self.pair_weight(last, piece) == 0:
-                    path.append(piece)
-                    at += size
-                    last = piece
-                    open_.append(iter(sizes.get(text[at : at + 2], (1,))))
-                    break
-            else:
-                if not path:  # equal ranks in a run of one character: merge it outright
-                    return self.merged(text)
-                dead.add(at)
-                open_.pop()
-                at -= len(path.pop())
-                last = path[-1] if path else ""
-        return path
-
     def _score_path(self, text: str) -> list[str]:
+        """States are places: the least weight to each, by arcs in the order of their starts."""
         best = [0.0] + [INFINITY] * len(text)
-        back = [0] * (len(text) + 1)
+        back = array("q", [0]) * (len(text) + 1)
         for start in range(len(text)):
-            here = best[start]
-            for size in self.lengths:
-                end = start + size
-                if end > len(text):
-                    break
-                k = self.arcs.get(text[start:end])
-                if k is not None and here + self.weights[k] < best[end]:
-                    best[end], back[end] = here + self.weights[k], start
-            if text[start] not in self.arcs and here + self.fallback_weight < best[start + 1]:
+            here, ends = best[start], self._piece_ends(text, start)
+            for end in ends:
+                weight = here + self.weights[self.arcs[text[start:end]]]
+                if weight < best[end]:
+                    best[end], back[end] = weight, start
+            if (not ends or ends[0] != start + 1) and here + self.fallback_weight < best[start + 1]:
                 best[start + 1], back[start + 1] = here + self.fallback_weight, start
         out, at = [], len(text)
         while at:
@@ -209,14 +319,55 @@ class PieceTransducer:
             at = back[at]
         return out[::-1]
 
+    def _merge_path(self, text: str) -> list[str]:
+        """States are places and the piece that ends there, so that the weights of neighbours are arcs' weights.
+
+        Where no path is of finite weight (no such text is known for the default model),
+        an unfit pair of neighbours weighs one, and the path with the fewest is taken.
+        """
+        for unfit in (INFINITY, 1.0):
+            n, pairs, wide = len(text), self.pairs, self.longest + 1
+            live: dict[int, dict[int, float]] = {0: {0: 0.0}}  # place: {length of the last piece: weight}
+            back = array("H", [0]) * ((n + 1) * wide)
+            for at in range(n):
+                here = live.pop(at, None)
+                if not here:
+                    continue
+                ends = self._piece_ends(text, at)
+                if not ends or ends[0] != at + 1:
+                    ends.insert(0, at + 1)
+                lasts = [(size, text[at - size : at], weight) for size, weight in here.items()]
+                for end in ends:
+                    piece, least, of = text[at:end], INFINITY, 0
+                    for size, last, weight in lasts:
+                        ok = pairs.get((last, piece))
+                        if ok is None:
+                            ok = self.pair_weight(last, piece) == 0.0
+                        if not ok:
+                            weight += unfit
+                        if weight < least:
+                            least, of = weight, size
+                    if least < INFINITY:
+                        live.setdefault(end, {})[end - at] = least
+                        back[end * wide + end - at] = of
+            if n in live:
+                break
+        out, at, size = [], n, min(live[n], key=live[n].get)
+        while at:
+            out.append(text[at - size : at])
+            at, size = at - size, back[at * wide + size]
+        return out[::-1]
+
     # Byte fallback.
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
-            if (k := self.arcs.get(p)) is not None:
+            if p in self.unused:  # merged and then taken apart again
+                out += self.ids_of(list(self.merged_from(p) or p) if len(p) > 1 else [])
+            elif (k := self.arcs.get(p)) is not None:
                 out.append(k)
             elif self.byte_ids:
-                out += [self.byte_ids[b] for b in p.encode("utf-8")]
+                out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
         return out
@@ -226,6 +377,20 @@ class PieceTransducer:
         line = self.normalised(text or "")
         if not line:
             return b""
+        if self.cut:
+            packed = b"".join(
+                np.array([self.arcs[part]], dtype=self.dtype).tobytes() if i % 2 else self._segments(part)
+                for i, part in enumerate(self.cut.split(line)) if part)
+        else:
+            packed = self._segments(line)
+        if not self.byte_ids:  # unknown characters side by side are one unknown piece
+            ids = np.frombuffer(packed, dtype=self.dtype)
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            packed = ids[~again].tobytes()
+        return packed
+
+    def _segments(self, line: str) -> bytes:
         segments = self.segment(line) if self.segment else [line]
         known = self.known
         try:
@@ -240,9 +405,7 @@ class PieceTransducer:
         return b"".join(map(known.__getitem__, segments))
 
     def _segment_ids(self, segment: str) -> bytes:
-        """Ids of a segment; for merges, of the stretches between neighbours that are in no piece."""
-        if not self.merges:
-            return np.array(self.ids_of(self.shortest_path(segment)), dtype=self.dtype).tobytes()
+        """Ids of a segment, stretch by stretch between neighbours that are in no piece."""
         out, inside, known, start = [], self.inside, self.stretches, 0
         for i in range(1, len(segment) + 1):
             if i == len(segment) or segment[i - 1 : i + 1] not in inside:
@@ -261,9 +424,16 @@ class PieceTransducer:
 
     def decode_packed(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 come out as replacement characters."""
-        table = self.bytes_of
-        raw = b"".join([table[i] for i in np.frombuffer(ids, dtype=self.dtype).tolist()]).decode("utf-8", "replace")
-        return raw[1:] if self.dummy_prefix and raw.startswith(" ") else raw
+        table, rest = self.bytes_of, np.frombuffer(ids, dtype=self.dtype).tolist()
+        head, at = b"", 0
+        while at < len(rest) and not head and (self.dummy_prefix or self.trim_spaces):  # the mark that the normaliser put first
+            k = rest[at]
+            head, at = table[k], at + 1
+            if self.pieces[k].startswith(BLANK):
+                head = head[1:]
+                if not self.trim_spaces:
+                    break
+        return (head + b"".join([table[k] for k in rest[at:]])).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_packed(np.array(ids, dtype=self.dtype).tobytes())
