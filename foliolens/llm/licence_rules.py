@@ -3,7 +3,8 @@
 A text is cut into sentences; each is normalised (case, punctuation, white space, common
 spellings) and looked up among the known licence sentences. The identifiers found, in
 order, are matched with the rules, longest first; up to ``GAP`` unknown sentences may
-lie between two of a rule (a copyright line, a blank heading).
+lie between two of a rule (a copyright line, a blank heading), but no known one: it
+belongs to a rule of its own. Some known sentences have a slot for a name.
 """
 
 from __future__ import annotations
@@ -56,6 +57,46 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "spdx-bsd3": ("SPDX-License-Identifier: BSD-3-Clause",),
 }
 
+#: Words that a slot takes at most.
+SLOT_WORDS = 12
+
+# Known sentences with a slot (...) for the name of a work or of a holder, by identifier.
+SLOTTED: tuple[tuple[str, str], ...] = (
+    ("bsd-names", "Neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "The name of ... may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("mit-ref", "... licensed under the MIT License."),
+    ("mit-ref", "... released under the MIT License."),
+    ("mit-ref", "... distributed under the MIT License."),
+    ("mit-ref", "... available under the MIT License."),
+    ("mit-ref", "... licensed under the terms of the MIT License."),
+    ("mit-ref", "... released under the terms of the MIT License."),
+    ("mit-ref", "... distributed under the terms of the MIT License."),
+    ("apache-ref", "... licensed under the Apache License, Version 2.0."),
+    ("apache-ref", "... released under the Apache License, Version 2.0."),
+    ("apache-ref", "... distributed under the Apache License, Version 2.0."),
+    ("apache-ref", "... licensed under the terms of the Apache License, Version 2.0."),
+    ("apache-ref", "... distributed under the terms of the Apache License, Version 2.0."),
+    ("gpl3-ref", "... licensed under the GNU General Public License, version 3."),
+    ("gpl3-ref", "... released under the GNU General Public License, version 3."),
+    ("gpl3-ref", "... distributed under the terms of the GNU General Public License, version 3."),
+    ("gpl2-ref", "... licensed under the GNU General Public License, version 2."),
+    ("gpl2-ref", "... released under the GNU General Public License, version 2."),
+    ("gpl2-ref", "... distributed under the terms of the GNU General Public License, version 2."),
+    ("lgpl3-ref", "... licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl3-ref", "... released under the GNU Lesser General Public License, version 3."),
+    ("mpl2-ref", "... licensed under the Mozilla Public License, version 2.0."),
+    ("mpl2-ref", "... released under the Mozilla Public License, version 2.0."),
+    ("bsd3-ref", "... licensed under the BSD 3-Clause License."),
+    ("bsd3-ref", "... released under the BSD 3-Clause License."),
+    ("bsd2-ref", "... licensed under the BSD 2-Clause License."),
+    ("bsd2-ref", "... released under the BSD 2-Clause License."),
+    ("isc-ref", "... licensed under the ISC License."),
+    ("isc-ref", "... released under the ISC License."),
+    ("ccby4-ref", "... licensed under CC BY 4.0."),
+    ("ccbysa4-ref", "... licensed under CC BY-SA 4.0."),
+    ("ccbync4-ref", "... licensed under CC BY-NC 4.0."),
+)
+
 # Ordered rules, the licence that a sequence of identifiers stands for.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -109,13 +150,37 @@ def normalised(sentence: str) -> str:
 
 @cache
 def _known() -> dict[str, str]:
-    """Identifiers by normalised sentence, and by the pieces that a sentence end would cut one into."""
+    """Identifiers by normalised sentence."""
     return {normalised(s): key for key, texts in SENTENCES.items() for s in texts}
 
 
+@cache
+def _slotted(leading: bool) -> tuple[tuple[str, re.Pattern], ...]:
+    """(identifier, pattern over normalised words) of the sentences whose slot comes first, or of the others."""
+    found = []
+    for key, sentence in SLOTTED:
+        before, after = map(normalised, sentence.split("...", 1))
+        if leading != bool(before):
+            name = rf"(?:\S+ ){{{0 if leading else 1},{SLOT_WORDS}}}"
+            found.append((key, re.compile(f"{re.escape(before)}{' ' if before else ''}{name}{re.escape(after)}")))
+    return tuple(found)
+
+
+def known_sentence(words: str, leading: bool) -> str | None:
+    """The identifier of a normalised sentence; one that begins with a slot only if ``leading``."""
+    found = _known().get(words)
+    for kind in (False, True)[: 1 + leading] if found is None else ():
+        found = found or next((key for key, pattern in _slotted(kind) if pattern.fullmatch(words)), None)
+    return found
+
+
 @cache
 def _longest() -> int:
-    return max(map(len, _known()))
+    return max(*map(len, _known()), *(len(normalised(s)) + 20 * SLOT_WORDS for _, s in SLOTTED))
+
+
+#: The first line of a sentence that begins with a slot holds one of these.
+_SUBJECT = re.compile(r"\b(?:licensed|released|distributed|available)\b")
 
 
 def _pieces(text: str):
@@ -136,19 +201,20 @@ def licence_sentences(text: str) -> list[tuple[str | None, int, int]]:
     known first. Pieces without words are none.
     """
     found = [(span, words) for span in _pieces(text) if (words := normalised(text[span[0] : span[1]]))]
-    pieces, words, known = [x[0] for x in found], [x[1] for x in found], _known()
+    pieces, words = [x[0] for x in found], [x[1] for x in found]
     starts = _starts()
     out, i = [], 0
     while i < len(pieces):
-        hit = None
-        if any(words[i].startswith(s) or s.startswith(words[i]) for s in starts.get(words[i].split(" ", 1)[0], ())):
+        hit, leading = None, _SUBJECT.search(words[i]) is not None
+        if leading or any(words[i].startswith(s) or s.startswith(words[i]) for s in starts.get(words[i].split(" ", 1)[0], ())):
             joined = ""
             for k in range(i, len(pieces)):
                 joined = f"{joined} {words[k]}".strip()
                 if len(joined) > _longest():
                     break
-                if joined in known:
-                    hit = (known[joined], k)
+                if key := known_sentence(joined, leading):
+                    hit = (key, k)
+                leading = leading and text[pieces[k][1] - 1] not in ".!?:;"  # a slot bridges no end of a sentence
         if hit:
             out.append((hit[0], pieces[i][0], pieces[hit[1]][1]))
             i = hit[1] + 1
@@ -160,47 +226,60 @@ def licence_sentences(text: str) -> list[tuple[str | None, int, int]]:
 
 @cache
 def _starts() -> dict[str, tuple[str, ...]]:
-    """Known sentences by first word: a piece that begins none of them is passed over at once."""
+    """Known sentences, and what comes before a slot, by first word: a piece that begins none of them is passed over at once."""
     found: dict[str, list[str]] = {}
-    for s in _known():
+    for s in [*_known(), *(before for _, x in SLOTTED if (before := normalised(x.split("...", 1)[0])))]:
         found.setdefault(s.split(" ", 1)[0], []).append(s)
     return {k: tuple(v) for k, v in found.items()}
 
 
-def find_licences(text: str | None) -> list[Match]:
-    """(licence, start, end, identifiers) of every rule matched in a whole text, leftmost, the longest rule first.
+def match_rules(row: list[str | None]) -> list[tuple[str, int, int, tuple[str, ...]]]:
+    """(licence, first, last, identifiers) of the rules matched in a row of identifiers, leftmost, the longest rule first.
 
-    Matches don't overlap. Null, empty and unlicensed texts have none.
+    Matches don't overlap. Only unknown sentences (None) may lie between two of a rule, ``GAP`` at most.
     """
-    if not text or not _HINT.search(text):
-        return []
-    row = licence_sentences(text)
     found, i = [], 0
     while i < len(row):
-        if row[i][0] is None:
-            i += 1
-            continue
-        for licence, wanted in sorted(RULES, key=lambda r: -len(r[1])):
+        for licence, wanted in _rules_from(row[i]):
             at, k, gap = i, 0, 0
-            last = i
-            while at < len(row) and k < len(wanted) and gap <= GAP:
-                if row[at][0] == wanted[k]:
-                    k, gap, last = k + 1, 0, at
-                elif k == 0:
-                    break
-                else:
+            while at < len(row) and k < len(wanted):
+                if row[at] == wanted[k]:
+                    k, gap = k + 1, 0
+                elif row[at] is None and gap < GAP:
                     gap += 1
+                else:
+                    break
                 at += 1
             if k == len(wanted):
-                found.append((licence, row[i][1], row[last][2], wanted))
-                i = last
+                found.append((licence, i, at - 1, wanted))
+                i = at - 1
                 break
         i += 1
     return found
 
 
+@cache
+def _rules_from(first: str | None) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """The rules that begin with an identifier, the longest first."""
+    return tuple(sorted((r for r in RULES if r[1][0] == first), key=lambda r: -len(r[1])))
+
+
+def find_licences(text: str | None) -> list[Match]:
+    """(licence, start, end, identifiers) of every rule matched in a whole text, as in ``match_rules``.
+
+    Null, empty and unlicensed texts have none.
+    """
+    if not text or not _HINT.search(text):
+        return []
+    row = licence_sentences(text)
+    return [(licence, row[a][1], row[b][2], wanted) for licence, a, b, wanted in match_rules([x[0] for x in row])]
+
+
 def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``licences``, an array of (licence, start, end, sentences), to each row; one of that name is replaced."""
+    """Add ``licences``, an array of (licence, start, end, sentences), to each row; one of that name is replaced.
+
+    Null and empty texts get an empty array, rows that repeat each their own, texts of any length are read whole.
+    """
     out = docs.drop("licences")
     kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sentences", pa.list_(pa.string()))]))
 
