@@ -71,6 +71,8 @@ _RULES: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]
     # To the END line of the same label where that comes next; else header lines and all that base64 can be.
     "private_key": (("-----begin ",), re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1-----|(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)"), lambda m: True),
 }
+#: Where a pattern fails, it fails alike at every keyword in the same run: the scan goes on after it.
+_RUNS = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*+")}
 #: A run of hexadecimal digits has no keyword; the pattern skips to runs that are long enough.
 _HEX = re.compile(r"[0-9a-f]{24,}+")
 
@@ -108,10 +110,14 @@ def find_secrets(text: str | None) -> list[Span]:
         _, pattern, holds = _RULES[kind]
         free = 0
         for at in sorted(starts):
-            if at >= free and (m := pattern.match(text, at)):
+            if at < free:
+                continue
+            if m := pattern.match(text, at):
                 free = m.end()
                 if holds(m):
                     spans.append((kind, at, free))
+            elif kind in _RUNS and (run := _RUNS[kind].match(text, at)):
+                free = run.end()
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
