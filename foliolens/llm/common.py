@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
+    """The folder that the driver and every executor see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder takes its place.
+    Where neither is set, a temporary folder takes its place in a local session (tests);
+    on a cluster that is an error, as executors could not read it.
     """
     ship(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_foliolens_dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(context, "_foliolens_dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="foliolens-")
-        spark.sparkContext._foliolens_dir = folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = context._foliolens_dir = tempfile.mkdtemp(prefix="foliolens-")
     return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the shared folder: it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage: a table in the shared folder, which survives lost executors."""
+    return written(df, "state")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -49,15 +48,50 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``written`` and the table's path, for ``removed``."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    _tables(spark).append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this context wrote and has not removed, in order."""
+    if not hasattr(spark.sparkContext, "_foliolens_tables"):
+        spark.sparkContext._foliolens_tables = []
+    return spark.sparkContext._foliolens_tables
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the order of written tables, for ``clear``."""
+    return len(_tables(spark))
+
+
+def clear(spark: SparkSession, since: int = 0, but: Collection[str] = ()) -> None:
+    """Delete the tables written since a mark, but for those named.
+
+    A result is read from such tables when it is used: clear after its last use (or
+    after writing it elsewhere).
+    """
+    for path in _tables(spark)[since:]:
+        if path not in but:
+            removed(spark, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _tables(spark):
+        _tables(spark).remove(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:

@@ -127,8 +127,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, d
     (``ids``, array<int>) if ``keep_ids``. Only the last sequence may be short. Null and
     empty texts are an end id alone. Rows that repeat a document are packed each.
 
-    The token table is written once and fixes the order; a lost executor only makes a
-    task read it again. The totals broadcast are one number per partition.
+    The ids of a very long text are cut over as many windows as it fills. The token table
+    is written once and fixes the order; a lost executor only makes a task read it again.
+    It stays until ``common.clear``. The totals broadcast are one number per partition.
     """
     tokens = written(tokenised(docs, vocabulary or default_vocabulary(), doc_id, text), "tokens")
     totals = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("part").collect()

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import hash_fraction, held_out
+from foliolens.llm.common import free_name, hash_fraction, held_out
 
 #: Bound of the sample of labelled documents that the classifier is fitted on.
 FIT_ROWS = 6000
@@ -57,10 +57,10 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text: str = "text", names: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """Add a struct column ``_statistics`` of the named statistics; it replaces one of that name."""
+def with_statistics(docs: DataFrame, text: str = "text", names: tuple[str, ...] = STATISTICS, into: str = "_statistics") -> DataFrame:
+    """Add a struct column of the named statistics; it replaces one of that name."""
     all_ = statistics(F.col(text))
-    return docs.withColumn("_statistics", F.struct(*[all_[k].cast("double").alias(k) for k in names]))
+    return docs.withColumn(into, F.struct(*[all_[k].cast("double").alias(k) for k in names]))
 
 
 @dataclass(frozen=True)
@@ -176,18 +176,26 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
-    """Fit the ensemble; the penalty is the largest of a path that comes near the best on every fourth row."""
+    """Fit the ensemble; the penalty is the largest of a path that comes near the best on every fourth row.
+
+    Few rows give few rules, as each side of a cut holds three at least; below four rows the
+    penalty is judged on all. Without rows every score is 0.5, of one class alone its rate
+    (held to 0.001 to 0.999).
+    """
     if len(y) == 0:
         return RuleEnsemble(0.0)
     rate = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    if y.min() == y.max() or len(y) < 20:
+    if y.min() == y.max():
         return RuleEnsemble(float(np.log(rate / (1 - rate))))
     rules = propose_rules(x, y)
     a = np.stack([r.holds(x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
     test = np.arange(len(y)) % 4 == 3
+    learn = ~test
+    if not test.any():
+        test = learn
     path = []
     for penalty in (0.02, 0.008, 0.003, 0.001):
-        b, w = lasso_logistic(a[~test], y[~test], penalty)
+        b, w = lasso_logistic(a[learn], y[learn], penalty)
         p = np.clip(1 / (1 + np.exp(-(a[test] @ w + b))), 1e-9, 1 - 1e-9)
         path.append((float(-(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p)).mean()), penalty))
     best = min(path)[0]
@@ -202,18 +210,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, te
     """Fit on about ``fit_rows`` labelled documents that aren't held out.
 
     The sample is drawn from the labels by a hash of the id, so it has a proven bound and
-    is broadcast to the documents. Null ids and labels teach nothing; of rows that repeat
-    an id, all that are drawn count. Without labelled documents every score is 0.5.
+    is broadcast to the documents. Null ids and labels teach nothing. An id counts once:
+    with 1 if more than half of its labels are above 0.5, and with the smallest statistics
+    (compared in their order) of the rows that repeat it, reduced before the shuffle.
+    Without labelled documents every score is 0.5. Other columns are not read.
     """
     rows = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("double").alias("y")).where(
         F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
+    rows = rows.groupBy("i").agg((F.avg((F.col("y") > 0.5).cast("double")) > 0.5).cast("double").alias("y"))
     n = rows.count()
-    drawn = rows.where(hash_fraction(F.col("i"), F.lit(1)) < F.lit(min(1.0, fit_rows / max(n, 1)))).dropDuplicates(["i"])
+    drawn = rows.where(hash_fraction(F.col("i"), F.lit(1)) < F.lit(min(1.0, fit_rows / max(n, 1))))
     joined = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(drawn), "i")
-    got = with_statistics(joined, "t").select("i", "y", "_statistics.*").orderBy("i", *STATISTICS).toPandas()
-    return fit_rules(got[list(STATISTICS)].to_numpy(float), (got["y"].to_numpy(float) > 0.5).astype(float))
+    once = with_statistics(joined, "t").groupBy("i", "y").agg(F.min("_statistics").alias("s"))
+    got = once.select("i", "y", "s.*").orderBy("i").toPandas()
+    return fit_rules(got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(float))
 
 
 def with_quality(docs: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
-    """Add the score (0 to 1, higher: better) of each whole text; a column of that name is replaced."""
-    return with_statistics(docs, text, model.used()).withColumn(score, model.score()).drop("_statistics")
+    """Add the score (0 to 1, higher: better) of each whole text; a column of that name is replaced.
+
+    Null texts count as empty; rows that repeat get the same score; other columns stay as they are.
+    """
+    into = free_name(docs, "_statistics")
+    return with_statistics(docs, text, model.used(), into).withColumn(score, model.score(into)).drop(into)

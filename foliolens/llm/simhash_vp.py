@@ -196,16 +196,20 @@ def fingerprint_text(fp: Column) -> Column:
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of one document of each group, the smallest id; of rows that repeat that id one stays.
+    """The rows of one document of each group, the smallest id.
 
-    ``groups`` gives each row's doc_id and component_id. Rows with a null id stay: they can't be told apart.
+    ``groups`` gives each row's doc_id and component_id. An id stands for one document: of
+    rows that repeat a kept id the one of the smallest text stays (then of the smallest row
+    as JSON). Rows with a null id stay: they can't be told apart. Their scan reads only
+    files whose statistics tell of nulls.
     """
     kept = checkpointed(
-        groups(docs, doc_id, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")))
-    once = docs.join(kept.where("_rows = 1").select(doc_id), doc_id, "left_semi")
-    nulls = docs.where(F.col(doc_id).isNull())
-    repeated = kept.where("_rows > 1").select(doc_id)
-    parts = once.unionByName(nulls)
+        groups(docs, doc_id, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    ids = lambda some: some.select(F.col("doc_id").alias(doc_id))
+    parts = docs.join(ids(kept.where("rows = 1")), doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    repeated = kept.where("rows > 1")
     if not repeated.isEmpty():
-        parts = parts.unionByName(docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+        row = F.struct(*docs.columns)
+        again = docs.join(ids(repeated), doc_id, "left_semi").groupBy(F.col(doc_id).alias("id")).agg(F.min_by(row, F.struct(F.col(text), F.to_json(row))).alias("row"))
+        parts = parts.unionByName(again.select("row.*"))
     return parts.select(*docs.columns)
