@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliolens.llm import language_id, packing, quality_rules, secret_scan, simhash_vp, word_sets
-from foliolens.llm.common import removed, table, written_at
+from foliolens.llm.common import clear, free_name, mark, table, written_at
 
 #: A document goes on if its language is known and its score reaches this.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -20,15 +20,17 @@ LEAST_QUALITY = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt from them; those without a letter, or far from all, go."""
-    found = language_id.with_language(docs, language_id.fit_profiles(docs), lang_pred="_lang", score="_score")
-    return found.where((found["_lang"] != language_id.UNKNOWN) & (found["_score"] >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language_id.with_language(docs, language_id.fit_profiles(docs), lang_pred=lang, score=score)
+    return found.where((found[lang] != language_id.UNKNOWN) & (found[score] >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labels, calls good."""
     model = quality_rules.fit_quality(docs, table(spark, sf_dir, "labels"))
-    found = quality_rules.with_quality(docs, model, score="_score")
-    return found.where(found["_score"] >= LEAST_QUALITY).select(*docs.columns)
+    score = free_name(docs, "score")
+    found = quality_rules.with_quality(docs, model, score=score)
+    return found.where(found[score] >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over ``documents``; a stage's table goes when the next is written."""
-    docs, last = table(spark, sf_dir, "documents"), None
+    """The result of the last stage over ``documents``; a stage's tables go when its result is written.
+
+    What the last stage wrote is read when the result is used, and stays until ``common.clear``.
+    """
+    docs, last, since = table(spark, sf_dir, "documents"), None, mark(spark)
     for name, stage in STAGES[:-1]:
-        docs, path = written_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if last:
-            removed(spark, last)
-        last = path
+        docs, last = written_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, since, but=(last,))
     return STAGES[-1][1](spark, docs, sf_dir)
