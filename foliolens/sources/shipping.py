@@ -16,9 +16,10 @@ import foliolens
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package's source, once for each context.
 
-    The archive lies in the shared folder (a temporary one only where none is set, as in
-    tests), so executors that join later get it too. A package that was itself loaded
-    from an archive is with the workers already.
+    The archive lies in the shared folder, so executors that join later get it too. Where
+    none is set it is served from a temporary folder of the driver, which Spark sends to
+    each executor. A package that was itself loaded from an archive is with the workers
+    already.
     """
     context = spark.sparkContext
     root = Path(foliolens.__file__).parent
