@@ -1,12 +1,15 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
 Two fingerprints within 3 bits differ in at most 1 bit of their upper or of their lower
-half. So there is one tree for each half, whose metric is the Hamming distance of that
-half and whose search radius is 1. The top of a tree is fitted on a bounded sample: each
-node has a vantage point and the median distance to it, and its leaves are shards. A
-fingerprint lives in one shard of each tree and also visits every shard that the triangle
-bound can't exclude (those across a border that it is near to). Inside a shard the tree
-goes on until few fingerprints remain, which are compared in whole, all 64 bits.
+half, and agree in one of their four quarters. So there is one tree for each part, whose
+metric is the Hamming distance of that part and whose search radius is 1 for halves and 0
+for quarters. The top of a tree is fitted on a bounded sample: each node has a vantage
+point and the median distance to it, and its leaves are shards. A fingerprint lives in one
+shard of each tree and also visits every shard that the triangle bound can't exclude (those
+across a border that it is near to). Such visits grow with each level, so trees of halves
+serve up to ``HALF_LEVELS`` levels and trees of quarters, which have none, beyond: a row is
+copied about five times at the most, however many shards there are. Inside a shard trees of
+halves go on until few fingerprints remain, which are compared in whole, all 64 bits.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Fingerprints that a shard is meant to hold, and the bound of the sample that trees are fitted on.
-SHARD_ROWS = 16_384
+SHARD_ROWS = 65_536
 FIT_ROWS = 40_000
+#: Sampled fingerprints that a leaf is fitted on at least; levels up to which halves serve.
+LEAF_SAMPLE, HALF_LEVELS = 16, 4
+#: Rows from where a shard (of one quarter's value, say) is cut into chunks of half that size.
+CHUNKED_ROWS = 1 << 20
 #: Below so many comparisons a node is searched whole.
 BLOCK = 1 << 18
 
 _SHIFTS = np.arange(63, -1, -1, dtype=np.uint64)
-_ONES = np.uint64(0xFFFFFFFF)
 
 
 def fingerprint(text: str | None) -> int:
@@ -68,9 +74,10 @@ def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return map_batches(docs.select(F.col(doc_id).alias("doc_id"), text), run, f"doc_id {kind}, fp bigint")
 
 
-def _half(fps: np.ndarray, tree: int) -> np.ndarray:
-    fps = fps.view(np.uint64)
-    return fps & _ONES if tree else fps >> np.uint64(32)
+def _part(fps: np.ndarray, tree: int, parts: int) -> np.ndarray:
+    """The bits of a tree's part, the upper ones first."""
+    width = 64 // parts
+    return fps.view(np.uint64) >> np.uint64(64 - width * (tree + 1)) & np.uint64((1 << width) - 1)
 
 
 @dataclass
@@ -81,31 +88,34 @@ class VantageTree:
     points: np.ndarray
     radii: np.ndarray
     levels: int
+    parts: int = 2
 
     @staticmethod
-    def fit(sample: np.ndarray, tree: int, levels: int) -> VantageTree:
-        halves = _half(sample, tree)
+    def fit(sample: np.ndarray, tree: int, levels: int, parts: int = 2) -> VantageTree:
+        values = _part(sample, tree, parts)
         n = (1 << levels) - 1
         points, radii = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         rng = np.random.default_rng(tree)
-        held = {0: halves}
+        held = {0: values}
         for k in range(n):
             own = held.pop(k)
-            points[k] = own[rng.integers(len(own))] if len(own) else rng.integers(1 << 32)
+            points[k] = own[rng.integers(len(own))] if len(own) else rng.integers(1 << 64 // parts)
             d = np.bitwise_count(own ^ points[k]).astype(np.int64)
-            radii[k] = int(np.median(d)) if len(d) else 16
+            # The distance that divides the rows most evenly.
+            upto = np.bincount(d, minlength=64).cumsum()
+            radii[k] = int(np.abs(2 * upto - len(own)).argmin()) if len(d) else 32 // parts
             if 2 * k + 1 < n:
                 held[2 * k + 1], held[2 * k + 2] = own[d <= radii[k]], own[d > radii[k]]
-        return VantageTree(tree, points, radii, levels)
+        return VantageTree(tree, points, radii, levels, parts)
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, shard, home): the shards that each row visits; home where it lives there."""
-        halves = _half(fps, self.tree)
+        values, radius = _part(fps, self.tree, self.parts), RADIUS // self.parts
         row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
         for _ in range(self.levels):
-            d = np.bitwise_count(halves[row] ^ self.points[node]).astype(np.int64)
+            d = np.bitwise_count(values[row] ^ self.points[node]).astype(np.int64)
             r = self.radii[node]
-            near, far = d <= r + 1, d >= r  # what lives across lies at r or r + 1 at the nearest
+            near, far = d <= r + radius, d > r - radius  # what lives across lies that near to the border
             row, node, home = (
                 np.concatenate((row[near], row[far])),
                 np.concatenate((2 * node[near] + 1, 2 * node[far] + 2)),
@@ -141,12 +151,23 @@ def _search(fps: np.ndarray, halves: np.ndarray, members: np.ndarray, queries: n
     return labels
 
 
-def shard_links(fps: np.ndarray, reps: np.ndarray, home: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the groups found in one shard: each row to the smallest row of its group."""
+def shard_links(fps: np.ndarray, reps: np.ndarray, home: np.ndarray, tree: int, parts: int = 2, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the groups found in one shard: each row to the smallest row of its group.
+
+    ``sides`` tells the two chunks of a shard's rows apart; only pairs across them are looked for.
+    """
     order = np.argsort(reps, kind="stable")
     fps, reps, home = fps[order].view(np.uint64), reps[order], home[order]
     everyone = np.arange(len(fps))
-    labels = _search(fps, _half(fps, tree), everyone[home], everyone, everyone.copy(), np.random.default_rng(tree))
+    pairs = [(everyone[home], everyone)]
+    if sides is not None:
+        low = sides[order]
+        pairs = [(everyone[home & low], everyone[~low]), (everyone[home & ~low], everyone[low])]
+    labels = everyone.copy()
+    # In a shard of one half's tree that half is the near one of its pairs; in one of a quarter's either may be.
+    for half in (tree,) if parts == 2 else (0, 1):
+        for members, queries in pairs:
+            labels = _search(fps, _part(fps, half, 2), members, queries, labels, np.random.default_rng(tree))
     linked = labels != everyone
     return reps[labels[linked]], reps[linked]
 
@@ -164,27 +185,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = classes.count()
     drawn = classes.where(hash_fraction(F.col("fp")) < F.lit(min(1.0, fit_rows / max(n, 1)))).select("fp").orderBy("fp").collect()
     sample = np.array([r["fp"] for r in drawn], dtype=np.int64)
-    levels = max(0, int(np.ceil(np.log2(max(n, 1) / shard_rows)))) if len(sample) else 0
-    trees = [VantageTree.fit(sample, t, levels) for t in (0, 1)]
+    levels = max(0, int(np.ceil(np.log2(max(n, 1) / shard_rows))))
+    levels = min(levels, int(np.log2(max(len(sample) / LEAF_SAMPLE, 1))))
+    parts = 2 if levels <= HALF_LEVELS else 4
+    trees = [VantageTree.fit(sample, t, levels, parts) for t in range(parts)]
 
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, rep = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        parts = []
+        found = []
         for tree in trees:
             row, shard, home = tree.route(own)
-            parts.append(pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(row), tree.tree, np.int32)), pa.array(shard.astype(np.int32)), pa.array(own[row]), rep.take(pa.array(row)), pa.array(home)],
-                names=["tree", "shard", "fp", "rep", "home"]))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            found.append(pa.RecordBatch.from_arrays(
+                [pa.array(((tree.tree << levels) + shard).astype(np.int32)), pa.array(own[row]), rep.take(pa.array(row)), pa.array(home)],
+                names=["shard", "fp", "rep", "home"]))
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0]
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        a, b = shard_links(table["fp"].to_numpy(), table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), table["tree"][0].as_py())
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        sides = None if low == high else table["chunk"].to_numpy() == low
+        a, b = shard_links(table["fp"].to_numpy(), table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), table["shard"][0].as_py() >> levels, parts, sides)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    routed = map_batches(classes, route, "shard int, fp bigint, rep bigint, home boolean")
+    large = routed.groupBy("shard").count().where(F.col("count") > CHUNKED_ROWS).collect()  # a row for each million rows at most
+    chunks = F.lit(1)
+    if large:
+        sizes = F.create_map(*[F.lit(x) for r in large for x in (r["shard"], -(-r["count"] // (CHUNKED_ROWS // 2)))])
+        chunks = F.coalesce(F.element_at(sizes, F.col("shard")), F.lit(1))
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("chunk"), j).alias("low"), F.greatest(F.col("chunk"), j).alias("high")))
     links = (
-        map_batches(classes, route, "tree int, shard int, fp bigint, rep bigint, home boolean")
-        .groupBy("tree", "shard").applyInArrow(search, "a bigint, b bigint")
+        routed.withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        .withColumn("cell", F.explode(cells)).select("shard", "cell.low", "cell.high", "chunk", "fp", "rep", "home")
+        .groupBy("shard", "low", "high").applyInArrow(search, "a bigint, b bigint")
     )
     found = connected_components(links)
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
