@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from foliolens.llm import graph_ann, queries
+from foliolens.llm import graph_ann, queries, vector_dedup
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -72,3 +72,22 @@ def test_queries_equal_brute_force_sql(spark, name):
     wanted = con.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(wanted.columns)
     assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(wanted.fetchall())
+
+
+def test_links_of_very_large_and_very_small_vectors(spark):
+    rows = [(i, (v * size, size, size / 3)) for i, (v, size) in enumerate([(1, 1e200), (1.01, 1e300), (1, 1e-300), (1.02, 1e-200), (1, 1), (-1, 1), (1.01, 1e25)])]
+    got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[i]["n_links"] for i in range(7)] == [5, 5, 5, 5, 5, 0, 5]
+    assert [got[i]["component_id"] for i in range(7)] == [0, 0, 0, 0, 0, 5, 0]
+
+
+def test_sketches_pass_every_pair_near_enough():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 64))
+    y = x + 0.46 * rng.standard_normal(x.shape)
+    cosine = (x * y).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    apart = np.bitwise_count(vector_dedup.sketches(x) ^ vector_dedup.sketches(y)).sum(axis=1)
+    lost = apart[cosine >= 0.9] > vector_dedup.widest(0.9)
+    assert len(lost) > 5000 and lost.mean() < 1e-3
+    z = rng.standard_normal((20_000, 64))
+    assert (np.bitwise_count(vector_dedup.sketches(x) ^ vector_dedup.sketches(z)).sum(axis=1) <= vector_dedup.widest(0.9)).mean() < 1e-3
