@@ -41,8 +41,11 @@ def sequence_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Add ``indel`` and ``sequence``; null texts count as empty."""
+MEASURES: dict[str, Callable[[str, str], float]] = {"indel": indel_ratio, "sequence": sequence_ratio}
+
+
+def with_similarity(df: DataFrame, a: str, b: str, *measures: str) -> DataFrame:
+    """Add the measures asked for (``indel`` and ``sequence`` if none is named); null texts count as empty."""
 
     ship(df.sparkSession)
 
@@ -52,7 +55,7 @@ def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
 
         return F.pandas_udf(run, "double")(a, b)
 
-    return df.withColumn("indel", column(indel_ratio)).withColumn("sequence", column(sequence_ratio))
+    return df.withColumns({name: column(MEASURES[name]) for name in measures or MEASURES})
 
 
 def preservation(source: str, output: str) -> float:

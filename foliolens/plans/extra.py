@@ -46,9 +46,9 @@ def t4(spark, folder):
 
 @query("t8_combine_sources")
 def t8(spark, folder):
-    """Second-source entries join the first unless their (text, page) or section was seen: a fold, since each choice counts for the next."""
+    """Second-source entries join the first unless their (text, page) or section was seen: a fold, since each choice counts for the next. A document's entries are a bounded group."""
     rows = S.table(spark, folder, "part").select(
-        (c("p_partkey") % 40).alias("doc"), "p_partkey", (c("p_partkey") % 2).alias("second"), F.concat_ws("@", "p_name", (c("p_size") % 3).cast("string")).alias("text"),
+        F.floor(c("p_partkey") / 40).alias("doc"), "p_partkey", (c("p_partkey") % 2).alias("second"), F.concat_ws("@", "p_name", (c("p_size") % 3).cast("string")).alias("text"),
         F.when(c("p_size") % 2 == 0, (c("p_size") % 10).cast("string")).otherwise("").alias("section"))
     listed = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("second", "p_partkey", "text", "section"))).alias("a"))
     empty = F.expr("named_struct('kept', cast(array() as array<bigint>), 'texts', cast(array() as array<string>), 'sections', cast(array() as array<string>))")
@@ -200,7 +200,7 @@ def x3(spark, folder):
     sample = F.substring("text", 1, SAMPLE_CHARS)
     kept = F.array_join(F.filter(F.split(sample, " "), lambda x, i: i % 5 != 4), " ")
     pairs = S.table(spark, folder, "documents").select("doc_id", sample.alias("a"), kept.alias("b"))
-    scored = X.with_similarity(pairs, "a", "b")
+    scored = X.with_similarity(pairs, "a", "b", "sequence")
     return scored.select("doc_id", F.round("sequence", 4).alias("ratio"), F.when(c("sequence") < 0.82, "fail").when(c("sequence") < 0.9, "warn").otherwise("pass").alias("status"))
 
 
@@ -208,7 +208,7 @@ def x3(spark, folder):
 def p33(spark, folder):
     """Blocks whose readable text is near enough (0.94) to the original and short enough to put in its place."""
     pairs = S.table(spark, folder, "part").select("p_partkey", c("p_name").alias("a"), F.when(c("p_size") % 2 == 0, F.regexp_replace("p_name", "i", "l")).otherwise(c("p_name")).alias("b"))
-    scored = X.with_similarity(pairs, "a", "b")
+    scored = X.with_similarity(pairs, "a", "b", "indel")
     return scored.select("p_partkey", ((c("indel") >= 0.94) & (F.length("b") <= 128) & (F.size(F.split("b", " ")) <= 10)).alias("apply"))
 
 
@@ -217,4 +217,4 @@ def p35(spark, folder):
     """Blocks unlike their own hint but like their neighbour: repeats of what stands beside them."""
     w = Window.partitionBy("page").orderBy("pos")
     near = S.blocks(spark, folder).select("page", "pos", c("text").alias("a"), F.coalesce(F.lag("text").over(w), F.lit("")).alias("b"))
-    return X.with_similarity(near, "a", "b").select("page", "pos", (c("indel") >= 0.9).alias("artifact"))
+    return X.with_similarity(near, "a", "b", "indel").select("page", "pos", (c("indel") >= 0.9).alias("artifact"))

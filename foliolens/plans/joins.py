@@ -47,11 +47,18 @@ def j3(spark, folder):
     return gold.join(cand, ["page", "pos", "uri"], "left").groupBy("page").agg(F.count(F.lit(1)).alias("gold"), F.count("other").alias("present"), F.count_if(c("other") == c("contents")).alias("same"))
 
 
+#: Characters that key a short passage.
+GRAM = 12
+
+
 @query("j4_gold_passages", """SELECT item_id, EXISTS (SELECT 1 FROM documents WHERE contains(text, b.text)) AS present FROM benchmark b""")
 def j4(spark, folder):
     """A passage is present where a document holds it: an equi-join on its second to ninth word, then a containment test.
 
-    These words are whole wherever the passage stands, whatever touches its ends. Shorter passages are tested apart.
+    These words are whole wherever the passage stands, whatever touches its ends. Passages
+    of fewer words are keyed by their first characters (``GRAM`` of them, or all of shorter
+    ones), as many joins as there are key lengths among them; an empty one is in every text.
+    Neither side is broadcast but by its measured size.
     """
     gold = S.table(spark, folder, "benchmark").select("item_id", c("text").alias("passage"), F.split("text", " ").alias("p"))
     docs = S.table(spark, folder, "documents").select("doc_id", "text")
@@ -60,9 +67,12 @@ def j4(spark, folder):
     runs = docs.where(F.size(w) >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(shifted, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(8)])))).alias("key"))
     keyed = gold.where(F.size("p") >= 10).select("item_id", F.xxhash64(*[F.element_at("p", i + 2) for i in range(8)]).alias("key"))
     pairs = runs.join(keyed, "key").select("doc_id", "item_id").distinct()
-    long = pairs.join(docs, "doc_id").join(gold.select("item_id", "passage"), "item_id").where(F.contains(c("text"), c("passage"))).select("item_id")
-    short = gold.where(F.size("p") < 10).join(docs, F.contains(c("text"), c("passage")), "left_semi").select("item_id")
-    held = long.union(short).distinct().withColumn("hit", F.lit(True))
+    short = gold.where(F.size("p") < 10).withColumn("n", F.least(F.length("passage"), F.lit(GRAM)))
+    for (n,) in short.select("n").distinct().collect():  # GRAM + 1 values at the most
+        grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) if n else F.array(F.lit(""))
+        found = docs.select("doc_id", F.explode(grams).alias("gram")).join(short.where(c("n") == n).select("item_id", F.substring("passage", 1, n).alias("gram")), "gram")
+        pairs = pairs.unionByName(found.select("doc_id", "item_id"))
+    held = pairs.join(docs, "doc_id").join(gold.select("item_id", "passage"), "item_id").where(F.contains(c("text"), c("passage"))).select("item_id").distinct().withColumn("hit", F.lit(True))
     return gold.select("item_id").join(held, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("present"))
 
 

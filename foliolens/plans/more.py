@@ -10,6 +10,7 @@ from foliolens.functions import text as T
 from foliolens.functions.similarity import with_similarity
 from foliolens.operators.assignment import best_assignment
 from foliolens.operators.clusters import greedy_rows
+from foliolens.operators.places import with_places
 from foliolens.operators.spatial import overlapping
 from foliolens.plans.joins import _A, _O, _SCORE, _boxed
 from foliolens.plans.registry import query
@@ -144,8 +145,7 @@ def j19(spark, folder):
     """Children after their anchor, in order; places are counted within an anchor and added to the anchors' sizes before, so no task sorts all rows."""
     rows = S.table(spark, folder, "region").select(F.lit("region").alias("kind"), c("r_regionkey").alias("id"), c("r_regionkey").alias("anchor"), F.lit(0).alias("k")).unionByName(
         S.table(spark, folder, "nation").select(F.lit("nation").alias("kind"), c("n_nationkey").alias("id"), c("n_regionkey").alias("anchor"), F.lit(1).alias("k")))
-    sizes = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("anchor").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("anchor", "before")
+    before = with_places(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "anchor", "n").select("anchor", c("place").alias("before"))
     w = Window.partitionBy("anchor").orderBy("k", "id")
     return rows.withColumn("r", F.row_number().over(w)).join(before, "anchor").select("kind", "id", (c("before") + c("r")).cast("int").alias("place"))
 

@@ -13,6 +13,7 @@ from foliolens.functions import similarity as X
 from foliolens.functions import text as T
 from foliolens.functions.decisions import decision
 from foliolens.operators.assignment import best_assignment
+from foliolens.operators.places import with_places
 from foliolens.operators.services import with_answers
 from foliolens.operators.spatial import overlapping
 from foliolens.plans.more import text_signals
@@ -176,10 +177,9 @@ def m10(spark, folder):
 
 @query("m11_pending_migrations", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey))::BIGINT - 1 AS step FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier) AND p_size = 50")
 def m11(spark, folder):
-    """Steps of a fixed, short list that haven't been applied, with their order."""
+    """Steps that haven't been applied, with their order among them."""
     pending = S.table(spark, folder, "part").where("p_size = 50").select("p_partkey").join(S.table(spark, folder, "supplier").select(c("s_suppkey").alias("p_partkey")), "p_partkey", "left_anti")
-    listed = pending.agg(F.array_sort(F.collect_list("p_partkey")).alias("a"))
-    return listed.select(F.posexplode("a").alias("step", "p_partkey")).select("p_partkey", c("step").cast("bigint").alias("step"))
+    return with_places(pending, "p_partkey").select("p_partkey", c("place").alias("step"))
 
 
 @query("m1_admitted_submissions", with_frames("job_steps", "SELECT event_id, job_id, (lag(step) OVER w IS NOT NULL AND lag(step) OVER w = step) AS duplicate FROM job_steps WINDOW w AS (PARTITION BY job_id ORDER BY pos)"))
@@ -306,7 +306,7 @@ def grounded_candidates(blocks: DataFrame) -> DataFrame:
     wide = (b > a + 20) & F.contains("_b", c("_a"))
     spread = (b > F.greatest(2 * a, a + 40)) & (also("_p") | also("_n"))
     rows = rows.where((a > 0) & (b >= LEAST_READ_CHARS) & ~wide & ~spread & (T.normalized(c("text")) != T.normalized(c("ocr"))))
-    scored = X.with_similarity(rows, "text", "ocr").where((c("indel") < SAME_TEXT) | F.contains("signals", F.lit("spaced letters")))
+    scored = X.with_similarity(rows, "text", "ocr", "indel").where((c("indel") < SAME_TEXT) | F.contains("signals", F.lit("spaced letters")))
     issue = F.when(c("_a") == c("_b"), "spacing_only").otherwise("encoding_problem")
     return scored.select(*blocks.columns, *near, "signals", issue.alias("issue_type"), F.round("indel", 4).alias("similarity")).orderBy("issue_type", "page", "pos")
 
@@ -331,8 +331,8 @@ def code_accepted(blocks: DataFrame) -> DataFrame:
     marked = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(CODE_MARKS))))
     code = F.size(lines).between(2, MOST_CODE_LINES) & (F.length("hint") <= MOST_CODE_CHARS) & (marked >= 2)
     asked = (c("role") == "code") & (c("confidence") == "high") & c("blocking") & (c("issue_type") == "encoding_problem") & code
-    native = X.with_similarity(blocks, "hint", "native").withColumnRenamed("indel", "_native").drop("sequence")
-    both = X.with_similarity(native, "hint", "ocr").withColumn("accepted", F.coalesce(asked & (F.greatest("_native", "indel") >= LEAST_CODE_SUPPORT), F.lit(False)))
+    native = X.with_similarity(blocks, "hint", "native", "indel").withColumnRenamed("indel", "_native")
+    both = X.with_similarity(native, "hint", "ocr", "indel").withColumn("accepted", F.coalesce(asked & (F.greatest("_native", "indel") >= LEAST_CODE_SUPPORT), F.lit(False)))
     return both.select(*blocks.columns, "accepted")
 
 

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from foliolens.plans import aggregates, extra, joins, lanes, more, orders, records, reviews, scalars, state, windows  # noqa: E402, F401
+from foliolens.plans import aggregates, extra, joins, lanes, more, orders, records, reviews, scalars, state, whole, windows  # noqa: E402, F401
