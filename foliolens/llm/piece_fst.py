@@ -78,7 +78,8 @@ class Normaliser:
     replacements and user-defined pieces to themselves, the longest first; any other
     character is an arc to itself, and runs of those are taken at once. Where extra blanks
     go, two states tell whether a blank would be one (at the start, and after a blank).
-    Without a map and with all blanks kept there is one state, applied as a translation.
+    Without a map and with all blanks kept there is one state, whose one arc that changes
+    anything is applied as a replacement.
     """
 
     def __init__(self, charsmap: dict[str, str], user: list[str], dummy_prefix: bool, trim: bool, escape: bool, suffix: bool) -> None:
@@ -90,15 +91,14 @@ class Normaliser:
             for c in key:
                 node = node.setdefault(c, {})
             node[""] = out
-        self.translation = None if self.arcs or trim else {" ": self.blank}
-        self.table = str.maketrans({" ": self.blank})
+        self.one_state = not self.arcs and not trim
         self.special = re.compile("[" + "".join(map(re.escape, {" ", *self.arcs})) + "]")
 
     def __call__(self, text: str) -> str:
         if not text:
             return ""
-        body = text if self.translation else self._mapped(text)
-        body = (self.affix if not self.at_end else "") + body.translate(self.table)
+        body = text if self.one_state else self._mapped(text)
+        body = (self.affix if not self.at_end else "") + body.replace(" ", self.blank)
         if self.trim:  # marks that stood in the text go like blanks
             body = body.rstrip(self.blank)
         return body + self.affix if self.at_end and body else body
@@ -322,36 +322,52 @@ class PieceTransducer:
     def _merge_path(self, text: str) -> list[str]:
         """States are places and the piece that ends there, so that the weights of neighbours are arcs' weights.
 
-        Where no path is of finite weight (no such text is known for the default model),
-        an unfit pair of neighbours weighs one, and the path with the fewest is taken.
+        Least weight first, and of equal weights the state last reached, by longer pieces
+        before shorter ones: weights being 0 or infinity, the first complete path is a
+        shortest one, and no state is entered twice.
         """
-        for unfit in (INFINITY, 1.0):
-            n, pairs, wide = len(text), self.pairs, self.longest + 1
-            live: dict[int, dict[int, float]] = {0: {0: 0.0}}  # place: {length of the last piece: weight}
-            back = array("H", [0]) * ((n + 1) * wide)
-            for at in range(n):
-                here = live.pop(at, None)
-                if not here:
-                    continue
-                ends = self._piece_ends(text, at)
-                if not ends or ends[0] != at + 1:
-                    ends.insert(0, at + 1)
-                lasts = [(size, text[at - size : at], weight) for size, weight in here.items()]
-                for end in ends:
-                    piece, least, of = text[at:end], INFINITY, 0
-                    for size, last, weight in lasts:
-                        ok = pairs.get((last, piece))
-                        if ok is None:
-                            ok = self.pair_weight(last, piece) == 0.0
-                        if not ok:
-                            weight += unfit
-                        if weight < least:
-                            least, of = weight, size
-                    if least < INFINITY:
-                        live.setdefault(end, {})[end - at] = least
-                        back[end * wide + end - at] = of
-            if n in live:
-                break
+        n, pairs, arcs_from = len(text), self.pairs, self._arcs_from
+        path: list[str] = []
+        entered: set[tuple[int, int]] = set()
+        open_ = [(0, "", arcs_from(text, 0))]
+        while open_:
+            at, last, ends = open_[-1]
+            while ends:
+                end = ends.pop()
+                piece = text[at:end]
+                ok = pairs.get((last, piece)) if last else True
+                if ok is None:
+                    ok = self.pair_weight(last, piece) == 0.0
+                if ok and (end, end - at) not in entered:
+                    path.append(piece)
+                    if end == n:
+                        return path
+                    entered.add((end, end - at))
+                    open_.append((end, piece, arcs_from(text, end)))
+                    break
+            else:
+                open_.pop()
+                if path:
+                    path.pop()
+        return self._least_unfit_path(text)
+
+    def _arcs_from(self, text: str, at: int) -> list[int]:
+        """Ends of the arcs from a place, the shortest first; the first character's own is always among them."""
+        ends = self._piece_ends(text, at)
+        return ends if ends and ends[0] == at + 1 else [at + 1, *ends]
+
+    def _least_unfit_path(self, text: str) -> list[str]:
+        """Where no path is of finite weight (no such text is known for the default model), an unfit pair weighs one."""
+        n, wide = len(text), self.longest + 1
+        live: dict[int, dict[int, float]] = {0: {0: 0.0}}  # place: {length of the last piece: weight}
+        back = array("H", [0]) * ((n + 1) * wide)
+        for at in range(n):
+            here = live.pop(at, {})
+            for end in self._arcs_from(text, at):
+                weights = {size: weight + (self.pair_weight(text[at - size : at], text[at:end]) > 0) for size, weight in here.items()}
+                size = min(weights, key=weights.get)
+                live.setdefault(end, {})[end - at] = weights[size]
+                back[end * wide + end - at] = size
         out, at, size = [], n, min(live[n], key=live[n].get)
         while at:
             out.append(text[at - size : at])
@@ -362,10 +378,11 @@ class PieceTransducer:
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
-            if p in self.unused:  # merged and then taken apart again
-                out += self.ids_of(list(self.merged_from(p) or p) if len(p) > 1 else [])
-            elif (k := self.arcs.get(p)) is not None:
-                out.append(k)
+            if (k := self.arcs.get(p)) is not None:
+                if p in self.unused:  # merged and then taken apart again
+                    out += self.ids_of(list(self.merged_from(p)) if len(p) > 1 else [])
+                else:
+                    out.append(k)
             elif self.byte_ids:
                 out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
             else:

@@ -133,3 +133,11 @@ def test_columns_of_the_query(spark):
         assert (own.n_pieces, own.n_bytes) == (len(ids), sum(library.is_byte(k) for k in ids))
         assert own.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         assert own.round_trip == (library.decode(ids) == (text or ""))
+
+
+def test_where_no_path_fits_the_fewest_unfit_pairs_are_taken(monkeypatch):
+    fst = piece_fst.PieceTransducer(model([("ab", -1.0, 1), ("abc", -2.0, 1), *((c, -9.0, 1) for c in "abcd")], 2, prefix=False))
+    assert fst.shortest_path("abcd") == ["abc", "d"]
+    fst.pairs.clear()
+    monkeypatch.setattr(fst, "pair_weight", lambda left, right: 0.0 if not left else piece_fst.INFINITY)
+    assert fst.shortest_path("abcd") == ["abc", "d"] and fst.shortest_path("ab") == ["ab"] and fst.shortest_path("dd") == ["d", "d"]
