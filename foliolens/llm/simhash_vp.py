@@ -239,7 +239,8 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept = checkpointed(
         groups(docs, doc_id, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
     ids = lambda some: some.select(F.col("doc_id").alias(doc_id))
-    parts = docs.join(ids(kept.where("rows = 1")), doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    once = ids(kept.where("rows = 1")).hint("merge")  # the kept ids grow with the documents: never broadcast
+    parts = docs.join(once, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
     repeated = kept.where("rows > 1")
     if not repeated.isEmpty():
         row = F.struct(*docs.columns)
