@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -62,9 +63,15 @@ def preservation(source: str, output: str) -> float:
     """1 less the share of the source's characters that an optimal edit script replaces or deletes.
 
     Of optimal scripts the one that damages least counts; characters added cost nothing here.
+    What both texts begin or end with alike is kept by one such script, so it is left out first.
     """
     if not source:
         return 1.0
+    chars = len(source)
+    same = len(commonprefix((source, output)))
+    source, output = source[same:], output[same:]
+    same = len(commonprefix((source[::-1], output[::-1])))
+    source, output = source[: len(source) - same], output[: len(output) - same]
     big = 1 << 32
     out = np.frombuffer(output.encode("utf-32-le"), dtype=np.uint32)
     steps = np.arange(len(out) + 1, dtype=np.int64) * big
@@ -74,7 +81,7 @@ def preservation(source: str, output: str) -> float:
         if len(out):
             best[1:] = np.minimum(best[1:], row[:-1] + np.where(out == ord(x), 0, big + 1))
         row = np.minimum.accumulate(best - steps) + steps
-    return 1.0 - float(row[-1] % big) / len(source)
+    return 1.0 - float(row[-1] % big) / chars
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -87,6 +94,47 @@ def partial_ratio(a: str, b: str) -> float:
     return max(SequenceMatcher(None, short, long[s : s + len(short)]).ratio() for s in starts)
 
 
+def window_ratio(a: str, b: str) -> float:
+    """The best indel ratio of the shorter text with any stretch of the longer that is as long, or shorter at either end."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 1.0 if not long else 0.0
+    if short in long:
+        return 1.0
+    best = _best_stretch(short, long)
+    return max(best, _best_stretch(long, short)) if len(short) == len(long) else best
+
+
+def _best_stretch(needle: str, text: str) -> float:
+    """``window_ratio`` of a needle and a text at least as long: one pass over the table, a diagonal at a time.
+
+    Strands enter the table at its left and top; two of them cross at most once, and bend
+    where characters match. Those that enter at the top at or after a stretch's beginning and
+    leave at the bottom before its end count the characters that its common subsequence lacks.
+    """
+    n, size = len(needle), len(text)
+    rows, columns = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (needle[::-1], text))
+    left, top = np.arange(n, dtype=np.int32), np.arange(n, n + size, dtype=np.int32)
+    for shift in range(1 - n, size):
+        r, k = max(0, -shift), max(0, shift)
+        m = min(n - r, size - k)
+        h, v = left[r : r + m], top[k : k + m]
+        bend = (rows[r : r + m] == columns[k : k + m]) | (h > v)
+        left[r : r + m], top[k : k + m] = np.where(bend, v, h), np.where(bend, h, v)
+    ends = np.flatnonzero(top >= n)
+    starts = top[ends] - n
+    lengths = np.arange(1, n)
+    first = lengths - np.cumsum(top >= n)[: n - 1]
+    after = np.cumsum(np.bincount(starts, minlength=size)[::-1])  # strands that start among the last 1, 2, … places
+    last = lengths - after[: n - 1]
+    windows = np.zeros(size + 1, np.int64)
+    earliest = np.maximum(ends - n + 1, 0)
+    np.add.at(windows, earliest[earliest <= starts], 1)
+    np.add.at(windows, starts[earliest <= starts] + 1, -1)
+    whole = n - np.cumsum(windows)[: size - n + 1]
+    return float(max(whole.max() / n, (2 * np.maximum(first, last) / (n + lengths)).max(initial=0.0)))
+
+
 def repaired(text: str | None) -> str:
     """UTF-8 that was read as Latin-1 read again, and white space collapsed; other texts as they are."""
     out = text or ""

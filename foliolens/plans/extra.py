@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import similarity as X
 from foliolens.functions import text as T
+from foliolens.operators.drift import text_drift
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _n
 from foliolens.sources import frames as S
@@ -196,12 +197,20 @@ def x1(spark, folder):
 
 @query("x3_text_drift")
 def x3(spark, folder):
-    """Each document's sample (its first SAMPLE_CHARS, the operator's own rule) against itself with every fifth word lost: ratio and verdict."""
-    sample = F.substring("text", 1, SAMPLE_CHARS)
-    kept = F.array_join(F.filter(F.split(sample, " "), lambda x, i: i % 5 != 4), " ")
-    pairs = S.table(spark, folder, "documents").select("doc_id", sample.alias("a"), kept.alias("b"))
-    scored = X.with_similarity(pairs, "a", "b", "sequence")
-    return scored.select("doc_id", F.round("sequence", 4).alias("ratio"), F.when(c("sequence") < 0.82, "fail").when(c("sequence") < 0.9, "warn").otherwise("pass").alias("status"))
+    """Each document's sample (its first SAMPLE_CHARS, the operator's own rule) and one changed by a rule of its id: measures and verdict by kind.
+
+    Changes: every fifth word lost, words added at the end, a quarter cut off, none. Every
+    third document has another text that the source took the place of.
+    """
+    sample, k = F.substring("text", 1, SAMPLE_CHARS), c("doc_id") % 4
+    lost = F.regexp_replace(sample, r"(\S+\s+\S+\s+\S+\s+\S+\s+)\S+\s*", "$1")
+    cut = F.expr(f"left(text, least(length(text), {SAMPLE_CHARS}) * 3 div 4)")
+    output = F.when(k == 0, lost).when(k == 1, F.concat(sample, F.lit(" "), F.substring("source", 1, 20))).when(k == 2, cut).otherwise(sample)
+    kind = F.element_at(F.array(*map(F.lit, ("digital", "scanned", "mixed"))), (F.floor(c("doc_id") / 4) % 3 + 1).cast("int"))
+    pairs = S.table(spark, folder, "documents").select(
+        "doc_id", sample.alias("source"), output.alias("output"), F.when(c("doc_id") % 3 == 0, lost).alias("original"), kind.alias("classification"))
+    return text_drift(pairs).select(
+        "doc_id", "classification", *[F.round(m, 6).alias(m) for m in ("similarity", "length_ratio", "containment", "preservation", "original_similarity", "original_length_ratio")], "status", "rescue_review")
 
 
 @query("p33_encoding_blocks")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
+from foliolens.operators import drift as D
 from foliolens.operators import outlines as O
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _TOC, _c
@@ -164,3 +165,35 @@ def j9_whole(spark, folder):
     orders = asked.select("page", F.when(c("page") % 5 == 0, cut).when(c("page") % 5 == 1, F.array_append(cut, F.lit(99).cast("bigint"))).otherwise(c("ids")).alias("ids"))
     return O.reordered(b, orders)
 
+
+def _named(metadata):
+    """A map as text in the order of its names."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+@query("g19_merged_tasks", with_frames("violations", """, t AS (SELECT doc, 'review:' || (event_id % 3) AS key, event_id AS place, rule_id AS title, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'odd' ELSE 'low' END AS severity, severity = 'error' AND event_id % 4 = 0 AS blocking, count FROM violations),
+    m AS (SELECT doc, key, place, 'last' AS name, rule_id AS value FROM (SELECT doc, key, place, title AS rule_id FROM t) UNION ALL SELECT doc, key, place, title, count::VARCHAR FROM t WHERE place % 7 <> 0),
+    l AS (SELECT doc, key, name, arg_max(value, place) AS value FROM m GROUP BY ALL),
+    j AS (SELECT doc, key, string_agg(name || '=' || value, ';' ORDER BY name) AS metadata FROM l GROUP BY ALL)
+    SELECT doc, key, arg_min(title, place) AS title, CASE WHEN bool_or(severity = 'high') THEN 'high' WHEN bool_or(severity = 'medium') THEN 'medium' WHEN bool_or(severity = 'low') THEN 'low' ELSE 'odd' END AS severity, bool_or(blocking) AS blocking, any_value(metadata) AS metadata
+    FROM t JOIN j USING (doc, key) GROUP BY doc, key"""))
+def g19_whole(spark, folder):
+    """Tasks that a document's violations add under three keys, each with metadata of its own."""
+    e = c("event_id")
+    severity = F.when(e % 5 == 0, "high").when(e % 5 == 1, "medium").when(e % 5 == 2, "odd").otherwise("low")
+    count = F.map_filter(F.create_map(F.lit("last"), c("rule_id"), c("rule_id"), c("count").cast("string")), lambda k, _: (k == "last") | (e % 7 != 0))
+    rows = S.violations(spark, folder).select(
+        "doc", F.concat(F.lit("review:"), (e % 3).cast("string")).alias("key"), e.alias("place"), c("rule_id").alias("title"), severity.alias("severity"),
+        ((c("severity") == "error") & (e % 4 == 0)).alias("blocking"), count.alias("metadata"))
+    return D.merged_tasks(rows).select("doc", "key", "title", "severity", "blocking", _named("metadata").alias("metadata"))
+
+
+@query("n21_task_metadata", with_frames("review_tasks", """, t AS (SELECT *, CASE WHEN task_id % 4 <> 0 THEN source END AS said, coalesce(CASE WHEN task_id % 4 <> 0 THEN source END, 'fidelity') AS src FROM review_tasks),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id, task_type, src ORDER BY task_id) AS n FROM t)
+    SELECT job_id AS doc, task_id AS place, CASE WHEN n = 1 AND task_type = 'alt_text' AND src IN ('fidelity', '1-URGENT') AND job_id % 3 <> 0 THEN 'from=' || job_id || ';rank=new' ELSE 'rank=' || severity END AS metadata FROM r"""))
+def n21_whole(spark, folder):
+    tasks = S.review_tasks(spark, folder).select(
+        c("job_id").alias("doc"), c("task_id").alias("place"), "task_type", F.when(c("task_id") % 4 != 0, c("source")).alias("source"), F.create_map(F.lit("rank"), "severity").alias("metadata"))
+    news = F.when(c("doc") % 3 != 0, F.create_map(F.lit("rank"), F.lit("new"), F.lit("from"), c("doc").cast("string")))
+    updates = tasks.select("doc").distinct().select("doc", F.lit("alt_text").alias("task_type"), F.explode(F.array(F.lit("fidelity"), F.lit("1-URGENT"))).alias("source"), news.alias("metadata"))
+    return D.with_metadata(tasks, updates).select("doc", "place", _named("metadata").alias("metadata"))
