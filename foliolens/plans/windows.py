@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
+from foliolens.functions.sequences import longest_nondecreasing
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _n
 from foliolens.sources import frames as S
@@ -14,14 +15,6 @@ from foliolens.sources.frames import with_frames
 c = F.col
 
 
-def longest_nondecreasing(values: Column) -> Column:
-    """Length of the longest non-decreasing subsequence: a fold whose state is the smallest ends by length."""
-    tails = F.aggregate(
-        values, F.expr("cast(array() as array<bigint>)"),
-        lambda t, x: F.concat(F.filter(t, lambda y: y <= x), F.array(x.cast("bigint")), F.slice(F.filter(t, lambda y: y > x), 2, F.size(t) + 1)))
-    return F.size(tails)
-
-
 _LNDS = "len(list_reduce(list_concat([[]::BIGINT[]], list_transform({a}, lambda v: [v::BIGINT])), lambda t, x: list_concat(list_concat(list_filter(t, lambda y: y <= x[1]), x), list_filter(t, lambda y: y > x[1])[2:])))"
 
 
