@@ -15,4 +15,14 @@ SQL_APART: dict[str, str] = {
         SELECT doc::BIGINT AS doc, (unnest(range(1, len(kept) + 1)) - 1)::INT AS place, unnest(kept) AS p_partkey FROM l""",
     "f33_scripts": r"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\p{Greek}') THEN 'GREEK' END, CASE WHEN regexp_matches(text, '\p{Latin}') THEN 'LATIN' END,
         CASE WHEN regexp_matches(regexp_replace(text, '[\p{Greek}\p{Latin}]', '', 'g'), '\p{L}') THEN 'OTHER' END], lambda x: x IS NOT NULL), ',') AS scripts FROM conversations""",
+    "f30_fragments_joined": r"""WITH RECURSIVE s AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, 0 AS n FROM conversations
+            UNION ALL SELECT conv_id, turn, u, n + 1 FROM (SELECT *, regexp_replace(t, '(^|[^\p{L}\p{N}_])([A-Za-z])\s+([a-z]{2,})($|[^\p{L}\p{N}_])', '\1\2\3\4', 'g') AS u FROM s) WHERE u <> t)
+        SELECT conv_id, turn, arg_max(t, n) AS joined FROM s GROUP BY ALL""",
+    "f4_repaired_text": r"""SELECT conv_id, turn, trim(regexp_replace(CASE WHEN regexp_full_match(text, '([\x{00}-\x{7f}]|[\x{c2}-\x{df}][\x{80}-\x{bf}]|\x{e0}[\x{a0}-\x{bf}][\x{80}-\x{bf}]|[\x{e1}-\x{ec}\x{ee}\x{ef}][\x{80}-\x{bf}]{2}|\x{ed}[\x{80}-\x{9f}][\x{80}-\x{bf}]|\x{f0}[\x{90}-\x{bf}][\x{80}-\x{bf}]{2}|[\x{f1}-\x{f3}][\x{80}-\x{bf}]{3}|\x{f4}[\x{80}-\x{8f}][\x{80}-\x{bf}]{2})*')
+        THEN decode(unhex(array_to_string(list_transform(string_split(text, ''), lambda x: printf('%02x', unicode(x))), ''))) ELSE coalesce(text, '') END, '\s+', ' ', 'g')) AS repaired FROM conversations""",
+    "p33_encoding_blocks": """WITH p AS (SELECT p_partkey, p_name AS a, CASE WHEN p_size % 2 = 0 THEN replace(p_name, 'i', 'l') ELSE p_name END AS b FROM part),
+        w AS (SELECT *, string_split(b, '') AS y FROM p),
+        d AS (SELECT p_partkey, a, b, list_reduce(list_concat([[0 FOR j IN range(len(y) + 1)]], list_transform(string_split(a, ''), lambda ch: [CASE WHEN k > 0 AND y[k] = ch THEN 1 ELSE 0 END FOR k IN range(len(y) + 1)])),
+            lambda row, hit: [list_max([CASE WHEN hit[i] = 1 THEN row[i - 1] + 1 ELSE row[i] END FOR i IN range(1, j + 1)]) FOR j IN range(1, len(row) + 1)])[-1] AS common FROM w)
+        SELECT p_partkey, 2 * common >= 0.94 * (length(a) + length(b)) AND length(b) <= 128 AND len(string_split(b, ' ')) <= 10 AS apply FROM d""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
 from foliolens.operators import drift as D
+from foliolens.operators import model as M
 from foliolens.operators import outlines as O
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _TOC, _c
@@ -197,3 +198,26 @@ def n21_whole(spark, folder):
     news = F.when(c("doc") % 3 != 0, F.create_map(F.lit("rank"), F.lit("new"), F.lit("from"), c("doc").cast("string")))
     updates = tasks.select("doc").distinct().select("doc", F.lit("alt_text").alias("task_type"), F.explode(F.array(F.lit("fidelity"), F.lit("1-URGENT"))).alias("source"), news.alias("metadata"))
     return D.with_metadata(tasks, updates).select("doc", "place", _named("metadata").alias("metadata"))
+
+
+@query("n1_document_pages", with_frames("doc_lines", f""", {_ELEMENTS}, r AS (SELECT doc, pos, page + 1 AS page, CASE WHEN pos % 3 = 0 THEN 'e' || pos ELSE 'review-' || pos END AS id, CASE type WHEN 'figure' THEN 'table' WHEN 'artifact' THEN 'paragraph' ELSE type END AS role, substr({_c('text')}, 1, 240) AS text,
+        CASE WHEN pos % 5 = 0 THEN 'fixed' WHEN pos % 7 = 0 THEN nullif(substr({_c('text')}, 1, 240), '') END AS resolved, row_number() OVER (PARTITION BY doc, page ORDER BY pos) AS ord FROM elements),
+    p AS (SELECT doc, page, string_agg(ord || ':' || id || ':' || role || ':' || text || ':' || coalesce(resolved, '-'), '|' ORDER BY ord) FILTER (role <> 'table') AS blocks,
+        string_agg(ord || ':' || id || ':' || CASE WHEN doc % 2 = 1 THEN '-' ELSE CASE WHEN length(id) % 2 = 0 THEN '0' ELSE '' END || ';' || CASE WHEN length(id) % 3 = 0 THEN '1' ELSE '' END || ';4' END, '|' ORDER BY ord) FILTER (role = 'table') AS tables FROM r GROUP BY ALL),
+    f AS (SELECT doc, page, string_agg(pos || ':' || name, '|' ORDER BY pos) AS fields FROM (SELECT doc, CASE WHEN doc % 3 = 0 THEN page + 50 ELSE page + 1 END AS page, pos, substr({_c('text')}, 1, 240) AS name FROM elements WHERE type = 'list_item') GROUP BY ALL)
+    SELECT doc, page, coalesce(blocks, '') AS blocks, coalesce(tables, '') AS tables, coalesce(fields, '') AS fields FROM p FULL JOIN f USING (doc, page)"""))
+def n1_whole(spark, folder):
+    """Pages as lists: places, ids and texts of blocks, headers and cells of tables, fields, some of them on pages of their own."""
+    e, pos = elements(spark, folder), c("pos")
+    none = F.lit(None).cast("string")
+    kind = F.when(c("type") == "figure", " table ").when(c("type") == "artifact", "").otherwise(c("type"))
+    rows = e.select(
+        "doc", "pos", "page", F.when(pos % 3 == 0, F.concat(F.lit("e"), pos.cast("string"))).alias("review_id"), kind.alias("type"), "text", F.when(pos % 5 == 0, " fixed").otherwise("").alias("resolved_text"), none.alias("actual_text"), F.when(pos % 7 == 0, c("text")).alias("hint"), F.lit(1).alias("level"))
+    tables = rows.where("type = ' table ' and doc % 2 = 0").select("doc", F.coalesce("review_id", F.concat(F.lit("review-"), pos.cast("string"))).alias("tbl"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    cells = tables.select("doc", "tbl", "pos", F.floor(c("pos") / 2).cast("int").alias("row"), (c("pos") % 2).alias("col"), F.lit("x").alias("text"), F.lit(False).alias("is_header"), ((c("pos") < 2) & (F.length("tbl") % 2 == 0)).alias("column_header"), ((c("pos") % 2 == 1) & (F.length("tbl") % 3 == 0)).alias("row_header"))
+    fields = e.where("type = 'list_item'").select("doc", (c("page") + F.when(c("doc") % 3 == 0, 50).otherwise(1)).alias("page"), pos.alias("ord"), pos.cast("string").alias("field_id"), F.lit("text").alias("kind"), c("text").alias("name"), none.alias("label"), none.alias("value"))
+    shown = lambda k, f: F.array_join(F.transform(k, f), "|").alias(k)
+    joined = lambda *xs: F.concat_ws(":", *[x.cast("string") for x in xs])
+    grid = lambda t: F.when(t["cells"].isNull(), "-").otherwise(F.concat_ws(";", F.array_join(t["header_rows"], ","), F.array_join(t["header_cols"], ","), F.size(t["cells"]).cast("string")))
+    return M.document_pages(rows, cells, fields).select(
+        "doc", "page", shown("blocks", lambda b: joined(b["ord"], b["id"], b["role"], b["text"], F.coalesce(b["resolved"], F.lit("-")))), shown("tables", lambda t: joined(t["ord"], t["id"], grid(t))), shown("fields", lambda f: joined(f["ord"], f["name"])))
