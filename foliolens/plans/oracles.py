@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
+def _greedy_rows(tolerance: float) -> str:
+    """Rows of words as a list that each step of the recursion adds one word to."""
+    return f"""WITH RECURSIVE w AS (SELECT label AS page, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, round(embedding[2]::DOUBLE * 1000) AS m, (vec_id % 40 + 10)::DOUBLE AS h, round(embedding[1]::DOUBLE * 1000) AS v, vec_id::VARCHAR AS t FROM embeddings),
+        z AS (SELECT page, i, ((m + h / 2) + (m - h / 2)) / 2 AS y, {{'x': v - h, 'i': i, 't': t}} AS word FROM w),
+        f AS (SELECT DISTINCT page, 0::BIGINT AS i, []::STRUCT(s DOUBLE, n INT, w STRUCT(x DOUBLE, i BIGINT, t VARCHAR)[])[] AS rows FROM z
+            UNION ALL SELECT page, i, CASE WHEN home > 0 THEN list_transform(rows, lambda r, k: CASE WHEN k = home THEN {{'s': r.s + y, 'n': r.n + 1, 'w': list_append(r.w, word)}} ELSE r END) ELSE list_append(rows, {{'s': y, 'n': 1, 'w': [word]}}) END
+            FROM (SELECT z.*, f.rows, coalesce(list_position(list_transform(f.rows, lambda r: abs(r.s / r.n - z.y) <= {tolerance}), true), 0) AS home FROM f JOIN z ON z.page = f.page AND z.i = f.i + 1)),
+        l AS (SELECT page, arg_max(rows, i) AS rows FROM f GROUP BY page)
+        SELECT page, k::INT - 1 AS row, rows[k].s / rows[k].n AS y, array_to_string(list_transform(list_sort(rows[k].w), lambda x: x.t), ' ') AS text FROM (SELECT page, rows, unnest(range(1, len(rows) + 1)) AS k FROM l)"""
+
+
 SQL_APART: dict[str, str] = {
+    "w10_rebuild_rows": _greedy_rows(12.0),
+    "w11_cluster_words": _greedy_rows(4.0),
     "m2_step_sessions": """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL),
         s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
         SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, session""",
