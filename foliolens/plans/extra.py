@@ -207,7 +207,7 @@ def x3(spark, folder):
     cut = F.expr(f"left(text, least(length(text), {SAMPLE_CHARS}) * 3 div 4)")
     output = F.when(k == 0, lost).when(k == 1, F.concat(sample, F.lit(" "), F.substring("source", 1, 20))).when(k == 2, cut).otherwise(sample)
     kind = F.element_at(F.array(*map(F.lit, ("digital", "scanned", "mixed"))), (F.floor(c("doc_id") / 4) % 3 + 1).cast("int"))
-    pairs = S.table(spark, folder, "documents").select(
+    pairs = S.spread(S.table(spark, folder, "documents"), "doc_id").select(
         "doc_id", sample.alias("source"), output.alias("output"), F.when(c("doc_id") % 3 == 0, lost).alias("original"), kind.alias("classification"))
     return text_drift(pairs).select(
         "doc_id", "classification", *[F.round(m, 6).alias(m) for m in ("similarity", "length_ratio", "containment", "preservation", "original_similarity", "original_length_ratio")], "status", "rescue_review")

@@ -18,6 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than cores dealt over them by a key, for work that costs far more than moving its rows; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def violations(spark: SparkSession, folder: str) -> DataFrame:
     """Events as rule violations; a count below 1 is 1."""
     k = F.get_json_object("props", "$.k").try_cast("int")
