@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from foliolens.plans import aggregates, contents, extra, fonts, joins, lanes, more, orders, records, reviews, roundtrip, scalars, state, whole, windows  # noqa: E402, F401
+from foliolens.plans import aggregates, contents, extra, fidelity, fonts, joins, lanes, more, orders, records, reviews, roundtrip, scalars, state, whole, windows  # noqa: E402, F401
