@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Length of the longest non-decreasing subsequence of a list named by "a".
+LONGEST = "len(list_reduce(list_concat([[]::BIGINT[]], list_transform({a}, lambda v: [v::BIGINT])), lambda t, x: list_concat(list_concat(list_filter(t, lambda y: y <= x[1]), x), list_filter(t, lambda y: y > x[1])[2:])))"
+
 def _greedy_rows(tolerance: float) -> str:
     """Rows of words as a list that each step of the recursion adds one word to."""
     return f"""WITH RECURSIVE w AS (SELECT label AS page, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, round(embedding[2]::DOUBLE * 1000) AS m, (vec_id % 40 + 10)::DOUBLE AS h, round(embedding[1]::DOUBLE * 1000) AS v, vec_id::VARCHAR AS t FROM embeddings),

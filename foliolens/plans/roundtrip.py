@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from foliolens.functions import text as T
 from foliolens.operators import roundtrip as O
 from foliolens.operators.bookmarks import compare_bookmarks
+from foliolens.plans.oracles import LONGEST as _LNDS
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _c, _loose, _n
 from foliolens.plans.whole import _ELEMENTS, elements
-from foliolens.plans.windows import _LNDS
 from foliolens.sources import frames as S
 from foliolens.sources.frames import with_frames
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
 from foliolens.functions.sequences import longest_nondecreasing
+from foliolens.plans.oracles import LONGEST as _LNDS
 from foliolens.plans.registry import query
 from foliolens.plans.scalars import _n
 from foliolens.sources import frames as S
@@ -15,9 +16,6 @@ from foliolens.sources.frames import with_frames
 c = F.col
 
 
-_LNDS = "len(list_reduce(list_concat([[]::BIGINT[]], list_transform({a}, lambda v: [v::BIGINT])), lambda t, x: list_concat(list_concat(list_filter(t, lambda y: y <= x[1]), x), list_filter(t, lambda y: y > x[1])[2:])))"
-
-
 @query("w1_longest_order", f"SELECT user_id, {_LNDS.format(a='a')}::INT AS ordered FROM (SELECT user_id, list(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) ORDER BY ts, event_id) AS a FROM events GROUP BY user_id)")
 def w1(spark, folder):
     k = F.get_json_object("props", "$.k").try_cast("bigint")
