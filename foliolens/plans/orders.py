@@ -123,3 +123,25 @@ def n26(spark, folder):
 def front(spark, folder):
     kind = F.when(c("blocking"), "blocking").when(c("severity") == "low", "optional").otherwise("open")
     return S.review_tasks(spark, folder).groupBy(kind.alias("list")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# How urgent a change's status is.
+_STATUS_RANK = {"needs_remediation": 0, "manual_remediated": 1, "auto_remediated": 2}
+
+
+@query("frontend_status_order", with_frames("violations", """, s AS (SELECT doc, event_id, ['auto_remediated', 'needs_remediation', 'manual_remediated'][event_id % 3 + 1] AS status FROM violations)
+    SELECT doc, event_id, status, (row_number() OVER (PARTITION BY doc ORDER BY CASE status WHEN 'needs_remediation' THEN 0 WHEN 'manual_remediated' THEN 1 ELSE 2 END, event_id))::INT AS place FROM s"""))
+def front_order(spark, folder):
+    """Changes of a document, those that need work first, in their own order among equals."""
+    kind = F.element_at(F.array(*map(F.lit, ("auto_remediated", "needs_remediation", "manual_remediated"))), (c("event_id") % 3 + 1).cast("int"))
+    rank = F.create_map(*[F.lit(x) for kv in _STATUS_RANK.items() for x in kv])[c("status")]
+    rows = S.violations(spark, folder).select("doc", "event_id", kind.alias("status"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(rank, "event_id")))
+
+
+@query("frontend_pending", with_frames("review_tasks", "SELECT task_id, job_id, task_type FROM review_tasks t WHERE NOT blocking AND NOT EXISTS (SELECT 1 FROM review_tasks p WHERE p.blocking AND p.job_id = t.job_id AND p.task_type = t.task_type)"))
+def front_pending(spark, folder):
+    """Changes of a kind that no pending task of the job holds already: one scan of the tasks on either side of an anti join."""
+    tasks = S.review_tasks(spark, folder)
+    pending = tasks.where("blocking").select("job_id", "task_type")
+    return tasks.where("not blocking").join(pending, ["job_id", "task_type"], "left_anti").select("task_id", "job_id", "task_type")
