@@ -73,7 +73,7 @@ def test_title_decision_and_plan(spark):
     assert {k: v["decision"] for k, v in plan.items()} == {"title": "ask", "toc": "ask", "bookmarks": "ask", "language": "keep"}
 
 
-@pytest.mark.parametrize("name", ["p38_title_decision"])
+@pytest.mark.parametrize("name", ["p38_title_decision", "p39_escalation_plan"])
 def test_titles_of_two_words_over_many_lines_equal_sql(spark, tmp_path, name):
     """Two words by blanks that hold five by white space; line breaks alone; blanks alone; a page without a title."""
     firsts = {1: "One.\nTwo.\nThree four.\nFive six", 2: "\n\t \n x", 3: "   x", 4: "a\tb\x0bc\x0cd\re f", 5: "One two", 6: "One two"}
