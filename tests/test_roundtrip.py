@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,10 @@ def test_empty_frames(spark):
     empty = Side(**{k: spark.createDataFrame([], kind) for k, kind in KINDS.items()})
     assert compare_documents(empty, empty, spark.createDataFrame([], ASSERTIONS)).count() == 0
     assert compare_documents(side(spark, GOLD), empty._replace(documents=side(spark, GOLD).documents)).agg(F.sum("matched_fields")).first()[0] == 0
+
+
+def test_frames_are_gathered_once(spark):
+    """A task that joins every frame of a document on its own holds a sort for each, and their pages pass its memory."""
+    asked = spark.createDataFrame([assertion("document_lang", "EN")], ASSERTIONS)
+    plan = compare_documents(side(spark, GOLD), side(spark, OTHER), asked)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\b(?:SortMerge|BroadcastHash|ShuffledHash)Join\b", plan)) <= 5
