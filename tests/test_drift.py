@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from difflib import SequenceMatcher
 
 from foliolens.functions import similarity as X
 from foliolens.operators import drift as D
@@ -31,6 +33,25 @@ def test_window_ratio_equals_all_windows():
     assert X.window_ratio("needle", "x" * 500 + "needle" + "y" * 500) == 1.0
 
 
+def test_sequence_ratio_equals_difflib():
+    rng = random.Random(11)
+    for n in (0, 1, 30, 199, 200, 900):
+        for letters in ("ab", "etaoin shrdlu", "".join(map(chr, range(97, 400)))):
+            a = "".join(rng.choices(letters, k=n))
+            for b in (a, a[: n // 2] + "x" + a[n // 2 :], "".join(x for x in a if rng.random() > 0.1), "".join(rng.choices(letters, k=n)), a[n // 3 :] + a[: n // 3]):
+                assert X.sequence_ratio(a, b) == SequenceMatcher(None, a, b).ratio() and X.sequence_ratio(b, a) == SequenceMatcher(None, b, a).ratio()
+
+
+def test_preservation_of_lost_or_added_text_takes_one_pass():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3600)]
+    text = " ".join(words)[:20000]
+    lost = " ".join(w for i, w in enumerate(text.split(" ")) if i % 5 != 4)
+    began = time.process_time()
+    assert abs(X.preservation(text, lost) - len(lost) / len(text)) < 1e-12 and X.preservation(lost, text) == 1.0
+    assert time.process_time() - began < 0.5  # the whole table takes seconds
+
+
 def test_verdicts_by_kind(spark):
     words = random.Random(5)
     text = " ".join("".join(words.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60))
